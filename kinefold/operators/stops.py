@@ -35,6 +35,7 @@ class StopParams:
     tau: float = 3.0            # neighbourhood in time, either side
     density: float = 0.5        # share of the pings near in time that must be near in space
     spot: float = 1.5           # clusters about one spot are one
+    least_cluster: float = 0.8  # shorter runs of cores are noise
     bridge: float = 2.0         # noise shorter than this between them is scatter
     least_stop: float = 8.0
     least_trip: float = 4.0
@@ -93,7 +94,7 @@ def _arrival(t, x, y, outside: np.ndarray, inside_t: float, cx: float, cy: float
         return 0.5 * (t[o] + inside_t)
     moment = t[o] + np.sign(inside_t - t[o]) * d / speed
     low, high = min(t[o], inside_t), max(t[o], inside_t)
-    reach = 0.6
+    reach = 1.0
     return float(np.clip(moment, low - (0 if t[o] < inside_t else reach), high + (reach if t[o] < inside_t else 0)))
 
 
@@ -103,28 +104,23 @@ def stops_in_session(t, x, y, core, sigma: float, begin: float, end: float, p: S
     if not len(where):
         return []
     eps = max(p.eps, p.eps_sigmas * sigma)
-    clusters: list[list[int]] = []
-    head = where[0]
-    for a, b in zip(where, np.append(where[1:], -1)):
-        jump = b < 0 or b != a + 1 or np.hypot(x[b] - x[a], y[b] - y[a]) > eps * 1.5
-        if jump:
-            clusters.append([head, a])
-            head = b
-    merged: list[list[float]] = []
-    for a, b in clusters:
-        cx, cy = np.median(x[a:b + 1]), np.median(y[a:b + 1])
+    gap = (np.diff(where) != 1) | (np.hypot(np.diff(x[where]), np.diff(y[where])) > eps * 1.5)
+    heads, tails = where[np.append(True, gap)], where[np.append(gap, True)]
+    lasting = t[tails] - t[heads] >= p.least_cluster
+    sx, sy = np.append(0.0, np.cumsum(x)), np.append(0.0, np.cumsum(y))
+    merged: list[list] = []
+    for a, b in zip(heads[lasting].tolist(), tails[lasting].tolist()):
         if merged:
-            q = merged[-1]
-            if np.hypot(cx - q[2], cy - q[3]) <= p.spot * 0.6 + sigma and t[a] - t[int(q[1])] <= max(p.bridge, 0) + (p.silence if a == q[1] + 1 else 0):
-                q[1] = b
-                q[2], q[3] = np.median(x[int(q[0]):b + 1]), np.median(y[int(q[0]):b + 1])
+            i, j = merged[-1]
+            apart = np.hypot((sx[b + 1] - sx[a]) / (b + 1 - a) - (sx[j + 1] - sx[i]) / (j + 1 - i), (sy[b + 1] - sy[a]) / (b + 1 - a) - (sy[j + 1] - sy[i]) / (j + 1 - i))
+            if apart <= p.spot * 0.6 + sigma and t[a] - t[j] <= (p.silence if a == j + 1 else p.bridge):
+                merged[-1][1] = b
                 continue
-        merged.append([a, b, cx, cy])
-    near = max(0.35, 2.6 * sigma)
+        merged.append([a, b])
+    near = max(0.9, 3.2 * sigma)
     found = []
     n = len(t)
-    for a, b, cx, cy in merged:
-        a, b = int(a), int(b)
+    for a, b in merged:
         if t[b] - t[a] < 0.5 * p.least_stop:
             continue
         mid = slice(a + (b - a) // 4, b - (b - a) // 4 + 1)
@@ -184,7 +180,7 @@ def pieces_in_block(ids, track, frame, x, y, lower: float, upper: float, number:
         stops = stops_in_session(t_s[u:v], x_s[u:v], y_s[u:v], core[u:v], sigma, first / FPS, last / FPS, p)
         edges, kinds = [first], []
         for i, j in stops:
-            i, j = i * FPS, j * FPS
+            i, j = round(i * FPS, 6), round(j * FPS, 6)
             if i > edges[-1]:
                 edges.append(i)
                 kinds.append("trip")
