@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinefold.llm.leakage import leaked, leaks_by_item
+from kinefold.llm.moderation import fit_table, flagged, rates_by_source, score_documents
+from kinefold.llm.mixing import mixture, shares_reached
+from kinefold.llm.percentiles import build_sketches, deduplicated, merge_sketches, percentiles_of, rank_check
 from kinefold.llm.runs import label_runs
 from kinefold.plans.registry import Registry
 from kinefold.session import table
@@ -35,3 +39,82 @@ def p2_found(spark, sf):
 @REGISTRY.add("p2_label_runs", _RUNS_SQL + "select match_id, id, role, team, jersey, start_frame, end_frame, readings, (end_frame - start_frame) / 25.0::double as duration_s from runs")
 def p2_label_runs(spark, sf):
     return label_runs(table(spark, sf, "frames"))
+
+
+@REGISTRY.add("p6_found")
+def p6_found(spark, sf):
+    return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@REGISTRY.add("p6_leaks_by_item")
+def p6_leaks_by_item(spark, sf):
+    items = table(spark, sf, "eval_items")
+    return leaks_by_item(leaked(table(spark, sf, "documents"), items), items)
+
+
+@REGISTRY.add("p8_found")
+def p8_found(spark, sf):
+    documents = table(spark, sf, "documents")
+    model = fit_table(table(spark, sf, "moderation_examples"), documents)
+    return flagged(score_documents(documents, model), model).select("doc_id", "category").distinct()
+
+
+@REGISTRY.add("p8_scores")
+def p8_scores(spark, sf):
+    documents = table(spark, sf, "documents")
+    return score_documents(documents, fit_table(table(spark, sf, "moderation_examples"), documents))
+
+
+@REGISTRY.add("p8_rates_by_source")
+def p8_rates_by_source(spark, sf):
+    documents = table(spark, sf, "documents")
+    model = fit_table(table(spark, sf, "moderation_examples"), documents)
+    return rates_by_source(documents, score_documents(documents, model), model)
+
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+GROUPS = ["team", "role"]
+
+
+def _summaries(spark, sf):
+    """Summaries once each, with the day on which they were first computed."""
+    rows = deduplicated(table(spark, sf, "analytics"), ["match_id", "id", "team", "role", "seconds", "distance_m", "avg_speed_ms", "max_speed_ms"], "computed_at")
+    return rows.withColumn("day", F.to_date("computed_at"))
+
+
+def _speed_percentiles(rows):
+    daily = merge_sketches(build_sketches(rows, ["day", *GROUPS], "avg_speed_ms"), ["day", *GROUPS])
+    return percentiles_of(merge_sketches(daily, GROUPS, salts=8), GROUPS, SHARES)
+
+
+@REGISTRY.add("p3_speed_percentiles")
+def p3_speed_percentiles(spark, sf):
+    return _speed_percentiles(_summaries(spark, sf))
+
+
+_SHARES_SQL = ", ".join(f"({s}::double)" for s in SHARES)
+
+
+@REGISTRY.add("p3_error_is_kept", f"""select team, role, share, true as within
+from (select distinct team, role from analytics), (values {_SHARES_SQL}) as s(share)""")
+def p3_error_is_kept(spark, sf):
+    rows = _summaries(spark, sf)
+    return rank_check(rows, _speed_percentiles(rows), GROUPS, "avg_speed_ms")
+
+
+@REGISTRY.add("p3_group_sizes", """select team, role, count(case when not isnan(avg_speed_ms) then 1 end) as n, min(case when not isnan(avg_speed_ms) then avg_speed_ms end) as least,
+       max(case when not isnan(avg_speed_ms) then avg_speed_ms end) as most
+from (select distinct match_id, id, team, role, seconds, distance_m, avg_speed_ms, max_speed_ms from analytics) group by team, role""")
+def p3_group_sizes(spark, sf):
+    merged = merge_sketches(build_sketches(_summaries(spark, sf), ["day", *GROUPS], "avg_speed_ms"), GROUPS, salts=8)
+    return merged.groupBy(*GROUPS).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+@REGISTRY.add("p7_mixture")
+def p7_mixture(spark, sf):
+    return mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+@REGISTRY.add("p7_shares_reached")
+def p7_shares_reached(spark, sf):
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    return shares_reached(documents, targets, mixture(documents, targets))
