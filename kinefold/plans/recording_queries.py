@@ -407,7 +407,7 @@ def shape_measures(spark, sf):
 
 
 _FORM = """seen as (select p.*, (frame - first_frame) // 1500 as "window" from points p join firsts using (match_id) where role = 'player' and team in ('left', 'right')),
-mean as (select match_id, "window", team, id, case when team = 'left' then avg(x) + 52.5 else 52.5 - avg(x) end as d, avg(y) as y, count(*) as n from seen group by all),
+mean as (select match_id, "window", team, id, case when team = 'left' then avg(x) + 52.5 else 52.5 - avg(x) end as d, avg(y) as y, count(*) as n from seen group by match_id, "window", team, id),
 lined as (select *, sum(case when gap >= 10 then 1 else 0 end) over (partition by match_id, "window", team order by d, id) as line from (select *, d - lag(d) over (partition by match_id, "window", team order by d, id) as gap from mean))"""
 
 
