@@ -242,4 +242,4 @@ def rank_check(rows: DataFrame, estimates: DataFrame, by: list[str], value: str)
              .agg(F.sum(F.when(v < F.col("e.value"), F.col("r._c")).otherwise(0)).alias("_below"), F.sum(F.when(v <= F.col("e.value"), F.col("r._c")).otherwise(0)).alias("_upto")))
     target = F.greatest(F.lit(1.0), F.ceil(F.col("share") * F.col("n")))
     off = F.greatest(F.lit(0.0), F.col("_below") + 1 - target, target - F.col("_upto"))
-    return ranks.select(*by, "share", F.coalesce(off <= F.col("rank_error"), F.col("n") == 0).alias("within"))
+    return ranks.select(*by, "share", ((F.col("n") == 0) | (off <= F.col("rank_error"))).alias("within"))
