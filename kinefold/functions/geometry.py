@@ -60,6 +60,11 @@ def determinant(h: Column) -> Column:
     return g(0) * (g(4) * g(8) - g(5) * g(7)) - g(1) * (g(3) * g(8) - g(5) * g(6)) + g(2) * (g(3) * g(7) - g(4) * g(6))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _turn(o: Column, a: Column, b: Column) -> Column:
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
 
@@ -77,15 +82,17 @@ def _half_hull(points: Column) -> Column:
 
 def polygon_area(points: Column) -> Column:
     """Shoelace area of an array of structs x, y in order; 0 below three points."""
-    n = F.size(points)
-    double = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),
-                         lambda s, i: s + F.get(points, i - 1)["x"] * F.get(points, i % n)["y"] - F.get(points, i % n)["x"] * F.get(points, i - 1)["y"])
-    return F.when(n >= 3, F.abs(double) / 2).otherwise(0.0)
+    def area(p: Column) -> Column:
+        after = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+        double = F.aggregate(F.zip_with(p, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+        return F.when(F.size(p) >= 3, F.abs(double) / 2).otherwise(0.0)
+    return _let(points, area)
 
 
 def hull_area(points: Column) -> Column:
     """Area of the convex hull of an array of structs x, y; 0 where it has none (all in the JVM)."""
-    order = F.array_sort(F.array_distinct(points))
-    lower, upper = _half_hull(order), _half_hull(F.reverse(order))
     body = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
-    return F.when(F.size(order) >= 3, polygon_area(F.concat(body(lower), body(upper)))).otherwise(0.0)
+    def area(order: Column) -> Column:
+        hull = F.concat(_let(_half_hull(order), body), _let(_let(F.reverse(order), _half_hull), body))
+        return F.when(F.size(order) >= 3, polygon_area(hull)).otherwise(0.0)
+    return _let(F.array_sort(F.array_distinct(points)), area)

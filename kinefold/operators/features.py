@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,23 +144,36 @@ def work_rate(p: DataFrame, catalog: DataFrame) -> DataFrame:
 def territory(p: DataFrame, lines: DataFrame, first: DataFrame, nx: int = 21, ny: int = 14) -> DataFrame:
     """``match_id, second, left, right, cells``: cells owned by a team in more than half of a second's lines.
 
-    The grid is a fixed list of nx x ny centres exploded per frame and team from the players'
-    positions collected within the frame (some two dozen), so no pair of rows is joined.
+    A second holds at most 25 lines of some two dozen people, so its positions fit a row; the
+    grid is laid over them in Arrow batches with array arithmetic instead of a join with the cells.
     """
-    frame = _playing(p).groupBy("match_id", "frame").agg(*[F.collect_list(F.when(F.col("team") == t, F.struct("x", "y"))).alias(t) for t in TEAMS])
-    centres = F.expr(f"flatten(transform(sequence(0, {ny - 1}), r -> transform(sequence(0, {nx - 1}), c -> struct(r as r, c as c))))")
-    cells = frame.select("match_id", "frame", *TEAMS, F.explode(centres).alias("k"))
-    cx, cy = -52.5 + (F.col("k.c") + 0.5) * (105.0 / nx), -34.0 + (F.col("k.r") + 0.5) * (68.0 / ny)
-    near = lambda t: F.array_min(F.transform(F.col(t), lambda q: (q["x"] - cx) * (q["x"] - cx) + (q["y"] - cy) * (q["y"] - cy)))
-    far = F.lit(float("inf"))
-    own = cells.select("match_id", "frame", "k", F.coalesce(near("left"), far).alias("l"), F.coalesce(near("right"), far).alias("r"))
     second = F.floor((F.col("frame") - F.col("first_frame")) / FPS).alias("second")
-    size = lines.join(first, "match_id").select("match_id", second).groupBy("match_id", "second").agg(F.count("*").alias("b"))
-    per = (own.join(first, "match_id").select("match_id", second, "k", "l", "r").groupBy("match_id", "second", "k")
-           .agg(F.count_if(F.col("l") < F.col("r")).alias("nl"), F.count_if(F.col("r") < F.col("l")).alias("nr")))
-    owned = per.groupBy("match_id", "second", "nl", "nr").agg(F.count("*").alias("m")).join(size, ["match_id", "second"])
-    many = lambda c: F.sum(F.when(2 * F.col(c) > F.col("b"), F.col("m")).otherwise(0))
-    return owned.groupBy("match_id", "second").agg(many("nl").alias("left"), many("nr").alias("right"), F.sum("m").alias("cells"))
+    size = lines.join(first, "match_id").groupBy("match_id", second).agg(F.count("*").alias("b"))
+    spots = (_playing(p).join(first, "match_id").groupBy("match_id", second)
+             .agg(F.collect_list(F.struct("frame", (F.col("team") == "left").cast("int").alias("side"), "x", "y")).alias("s")))
+    rows = spots.join(size, ["match_id", "second"]).select(
+        "match_id", "second", "b", F.col("s.frame").alias("f"), F.col("s.side").alias("t"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, r = np.meshgrid(np.arange(nx), np.arange(ny))
+        cx, cy = (-52.5 + (c + 0.5) * (105.0 / nx)).ravel(), (-34.0 + (r + 0.5) * (68.0 / ny)).ravel()
+        for batch in batches:
+            out = []
+            for b, f, t, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+                f, t, x, y = (np.asarray(v) for v in (f, t, x, y))
+                order = np.lexsort((t, f))
+                f, t, x, y = f[order], t[order], x[order], y[order]
+                d = (x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2
+                head = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (t[1:] != t[:-1])))
+                near = np.minimum.reduceat(d, head, axis=0)
+                _, frame = np.unique(f[head], return_inverse=True)
+                best = np.full((2, frame.max() + 1, nx * ny), np.inf)
+                best[t[head], frame] = near
+                out.append((int((2 * (best[1] < best[0]).sum(axis=0) > b).sum()), int((2 * (best[0] < best[1]).sum(axis=0) > b).sum()), nx * ny))
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([*v], type=pa.int64()) for v in columns]], names=["match_id", "second", "left", "right", "cells"])
+
+    return rows.mapInArrow(own, "match_id string, second bigint, left bigint, right bigint, cells bigint")
 
 
 def shape_by_second(p: DataFrame, first: DataFrame, least: int = 4, exact: bool = False) -> DataFrame:
