@@ -42,6 +42,10 @@ class LeakParams:
     share: float = 0.5      # share of the passage's words, in order
     gap: int = 4             # words between pieces that still belong together
 
+    def __post_init__(self):
+        if self.parts * self.rare_per_part > 63:
+            raise ValueError("at most 63 places of a passage can be looked up")
+
 
 def tokenised(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, words``: plain words of every text, in order."""
@@ -79,12 +83,13 @@ def candidates(index: DataFrame, items: DataFrame, params: LeakParams = LeakPara
     first = Window.partitionBy("item_id", "part", "term").orderBy("at")
     rank = Window.partitionBy("item_id", "part").orderBy(F.coalesce("df", F.lit(0)), F.desc(F.length("term")), "term")
     rare = (terms.withColumn("_k", F.row_number().over(first)).where("_k = 1").join(frequency, "term", "left")
-            .withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= params.rare_per_part).select("term", "item_id", "at"))
-    hits = index.join(_small(rare, rows), "term").select(key, "item_id", "at", (F.col("pos") - F.col("at")).alias("_offset"))
+            .withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= params.rare_per_part)
+            .select("term", "item_id", "at", F.expr(f"shiftleft(1L, cast(part * {params.rare_per_part} + _r - 1 as int))").alias("_bit")))
+    hits = index.join(_small(rare, rows), "term").select(key, "item_id", "_bit", (F.col("pos") - F.col("at")).alias("_offset"))
     bands = F.explode(F.array(F.floor(F.col("_offset") / (2 * params.slack)) * 2, F.floor((F.col("_offset") + params.slack) / (2 * params.slack)) * 2 + 1))
-    near = (hits.select(key, "item_id", "at", bands.alias("_band")).groupBy(key, "item_id", "_band")
-            .agg(F.count_distinct("at").alias("_places")))
-    return near.where(F.col("_places") >= params.places).select(key, "item_id").distinct()
+    # a bit for each looked-up place: distinct places are counted in one aggregation, combined before the shuffle
+    near = hits.select(key, "item_id", "_bit", bands.alias("_band")).groupBy(key, "item_id", "_band").agg(F.bit_or("_bit").alias("_places"))
+    return near.where(F.bit_count("_places") >= params.places).select(key, "item_id").distinct()
 
 
 def _deletes(word: str) -> set[str]:
