@@ -8,7 +8,9 @@ groups as such weigh nothing against each other and neutral mentions stay low.
 sentences are also shown in disguise (digits for letters, masks, stretched and split words).
 
 The labelled table is small; at most ``most_examples`` rows (hash-ordered) are brought to the
-driver to fit.  Every document is scored, whole.
+driver to fit.  Nothing unlabelled is taken as harmless: all documents, whole, give counts only
+(capitals of words, share of stretches that hold a feature), and what is common in them may
+weigh little.  Every document is scored, whole.
 
 Defined results: null and empty texts score 0; unlabelled and wrongly labelled examples are
 left out or outvoted; without examples every score is 0; extra columns are ignored.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,24 +75,28 @@ def tokens(sentence: str, names: frozenset[str] = frozenset()) -> list[str]:
     return out
 
 
-def ordinary_names(harmless: list[str], harmful: list[str], terms: tuple[str, ...], least: int = 5) -> frozenset[str]:
-    """Words that harmless texts nearly always write with a capital, and harmful ones rarely hold.
+def capitals(texts: Iterable[str | None]) -> dict[str, list[int]]:
+    """Plain form of every cased word: how often it stands, and how often with a capital."""
+    out: dict[str, list[int]] = {}
+    for text in texts:
+        for w in _CASED.findall(text or ""):
+            n = out.setdefault(plain_python(w), [0, 0])
+            n[0] += 1
+            n[1] += w[0].isupper()
+    return out
+
+
+def ordinary_names(counted: dict[str, list[int]], total: int, harmful: list[str], terms: tuple[str, ...], least: int = 5, share: float = 0.85, times: float = 5.0) -> frozenset[str]:
+    """Words that ordinary texts nearly always write with a capital, and that harmful ones do not favour.
 
-    Who is named says nothing about the language; groups of people stay visible.
+    ``counted`` are the ``capitals`` of ordinary texts of ``total`` words; in harmful texts a name
+    stands at most ``times`` as often among the words.  Who is named says nothing about the
+    language; groups of people stay visible.
     """
     kept = {w for t in terms for w in t.split()}
-    capital: dict[str, int] = {}
-    total: dict[str, int] = {}
-    for text in harmless:
-        for w in _CASED.findall(text):
-            low = plain_python(w)
-            total[low] = total.get(low, 0) + 1
-            capital[low] = capital.get(low, 0) + w[0].isupper()
-    held: dict[str, int] = {}
-    for text in harmful:
-        for w in _CASED.findall(text):
-            held[plain_python(w)] = held.get(plain_python(w), 0) + 1
-    return frozenset(w for w, n in total.items() if n >= least and capital[w] >= 0.85 * n and 3 * held.get(w, 0) <= n and w not in kept)
+    held = capitals(harmful)
+    words = sum(n for n, _ in held.values())
+    return frozenset(w for w, (n, c) in counted.items() if n >= least and c >= share * n and held.get(w, [0])[0] * total <= times * n * words and w not in kept)
 
 
 def pieces(word: str) -> list[str]:
@@ -219,8 +225,8 @@ class _Rows:
         return np.stack([np.bincount(self.index, r[self.owner, k], size) for k in range(r.shape[1])], axis=1)
 
 
-def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, pairs: tuple[_Rows, _Rows] | None, size: int, ridge: float, fair: float, steps: int, start=None):
-    """Weighted logistic loss + ridge + fair * (score change under a swap)^2, by Adam."""
+def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, pairs: tuple[_Rows, _Rows] | None, size: int, ridge: np.ndarray, fair: float, steps: int, start=None):
+    """Weighted logistic loss + ridge by feature + fair * (score change under a swap)^2, by Adam."""
     w, b = (start[0].copy(), start[1].copy()) if start else (np.zeros((size, y.shape[1])), np.full(y.shape[1], -2.0))
     m, v = np.zeros_like(w), np.zeros_like(w)
     mb, vb = np.zeros_like(b), np.zeros_like(b)
@@ -228,7 +234,7 @@ def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, pairs: tuple[_Rows, _Ro
     for k in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(rows.times(w) + b, -30, 30)))
         r = (p - y) * weight[:, None] / total
-        g, gb = rows.back(r, size) + ridge * w, r.sum(axis=0)
+        g, gb = rows.back(r, size) + ridge[:, None] * w, r.sum(axis=0)
         if pairs is not None and fair and pairs[0].n:
             change = (pairs[0].times(w) - pairs[1].times(w)) * (fair / pairs[0].n)
             g += pairs[0].back(change, size) - pairs[1].back(change, size)
@@ -240,19 +246,26 @@ def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, pairs: tuple[_Rows, _Ro
     return w, b
 
 
-def fit(examples: list[tuple[str, str | None]], plain: list[str] = (), size: int = 1 << 16, ridge: float = 2e-5, fair: float = 0.02, steps: int = 60, rounds: int = 3,
-        sure: float = 0.5, spoken: float = 3.0, terms: tuple[str, ...] = IDENTITY, seed: int = 7) -> Model:
+@dataclass
+class Language:
+    """What all documents show of ordinary language: names, and the share of stretches that hold a feature."""
+
+    names: frozenset[str]
+    rates: np.ndarray
+
+
+def fit(examples: list[tuple[str, str | None]], language: Language | None = None, size: int = 1 << 16, ridge: float = 2e-5, common: float = 2.0, granted: float = 0.05, fair: float = 0.02, steps: int = 60, rounds: int = 3,
+        spoken: float = 3.0, terms: tuple[str, ...] = IDENTITY, seed: int = 7) -> Model:
     """Fit on (text, label) pairs; labels outside ``CATEGORIES`` and ``none`` are left out.
 
-    ``plain`` holds unlabelled texts of the kind to be scored.  Harmful sentences are rare in
-    them, so after the first rounds their stretches count as harmless unless they score
-    ``sure`` or more; so the model learns the ordinary language of sources that the examples
-    do not show.
+    The ridge of a feature grows by ``common`` times its rate in ``language``, less the rate that
+    it would have if a share ``granted`` of all stretches were harmful ones like the examples':
+    what is common beyond that speaks for no category, even where few examples hold it by chance.
     """
     rng = random.Random(seed)
     known: dict = {}
     sent, toks, owner, label = [], [], [], []
-    names = ordinary_names([*plain, *(t for t, s in examples if t and s == "none")], [t for t, s in examples if t and s in CATEGORIES], terms)
+    names = language.names if language else names_of(examples, terms=terms)
     for k, (text, said) in enumerate((t, s) for t, s in examples if t and s in (*CATEGORIES, "none")):
         for s in sentences(text):
             for part in stretches(tokens(s, names)):
@@ -267,6 +280,12 @@ def fit(examples: list[tuple[str, str | None]], plain: list[str] = (), size: int
     base = [features(t, size, known) for t in toks]
     times = np.bincount(owner)[owner]
     speaks = np.where(label >= 0, 1.0 / times, 0.0)  # how far the stretch speaks for its text's label
+    ridges = np.full(size, ridge)
+    if language:
+        harm = np.zeros(size)
+        for k in np.flatnonzero(speaks):
+            harm[list(set(base[k]))] += speaks[k]
+        ridges += common * np.maximum(language.rates - granted * harm / max(speaks.sum(), 1.0), 0.0)
     state = None
     swaps = [(s, c) for s in dict.fromkeys(sent) for c in counterfactuals(s, terms, rng)]
     pairs = (_Rows([features(tokens(a, names), size, known) for a, _ in swaps]), _Rows([features(tokens(b, names), size, known) for _, b in swaps])) if swaps else None
@@ -278,16 +297,6 @@ def fit(examples: list[tuple[str, str | None]], plain: list[str] = (), size: int
                 target[label[k]] = float(speaks[k] > 0.5 or (turn == 0 and times[k] == 1))
             y.append(target)
             weight.append(1.0 if label[k] < 0 else (spoken if target.any() else 1.0) if turn else max(speaks[k], 0.3))
-        if turn == rounds - 1 and turn:
-            model, seen = Model(state[0], state[1], size, names), set()
-            for s in (s for text in plain for s in sentences(text)):
-                if model.sentence(s).max() < sure:
-                    for part in stretches(tokens(s, names)):
-                        if part and tuple(part) not in seen:
-                            seen.add(tuple(part))
-                            rows.append(features(part, size, known))
-                            y.append(np.zeros(len(CATEGORIES)))
-                            weight.append(0.5)
         if turn == 0:
             y = [np.eye(len(CATEGORIES))[label[k]] * (label[k] >= 0) if label[k] >= 0 else np.zeros(len(CATEGORIES)) for k in range(len(sent))]
         else:
@@ -297,7 +306,7 @@ def fit(examples: list[tuple[str, str | None]], plain: list[str] = (), size: int
                         rows.append(features(tokens(disguise(" ".join(toks[k]), rng)), size, known))
                         y.append(y[k])
                         weight.append(0.5 * spoken)
-        w, b = _fit(_Rows(rows), np.array(y), np.array(weight), pairs, size, ridge, fair, steps if turn == rounds - 1 else steps // 2, state)
+        w, b = _fit(_Rows(rows), np.array(y), np.array(weight), pairs, size, ridges, fair, steps if turn == rounds - 1 else steps // 2, state)
         state = (w, b)
         z = _Rows(base).times(w) + b
         speaks = np.zeros(len(sent))
@@ -308,18 +317,81 @@ def fit(examples: list[tuple[str, str | None]], plain: list[str] = (), size: int
     return Model(w.astype(np.float32), b, size, names)
 
 
-def fit_table(examples: DataFrame, documents: DataFrame | None = None, most_examples: int = 20_000, most_documents: int = 1_000, **params) -> Model:
+def names_of(examples: list[tuple[str, str | None]], counted: dict[str, list[int]] | None = None, total: int = 0, terms: tuple[str, ...] = IDENTITY) -> frozenset[str]:
+    """``ordinary_names`` of the harmless examples, or of ordinary texts already ``counted``."""
+    if counted is None:
+        counted = capitals(t for t, s in examples if s == "none")
+        total = sum(n for n, _ in counted.values())
+    return ordinary_names(counted, total, [t for t, s in examples if t and s in CATEGORIES], terms)
+
+
+def count_capitals(documents: DataFrame, text: str = "text", least: int = 5, share: float = 0.85, most: int = 200_000) -> tuple[dict[str, list[int]], int]:
+    """``capitals`` over all documents, of the words that may be names, and the number of cased words.
+
+    A task holds the counts of ``most`` words at a time; the words are counted together by Spark.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(seen):
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([n[k] for n in seen.values()], pa.int64()) for k in (0, 1)]], names=["word", "n", "capital"])
+
+        seen: dict[str, list[int]] = {}
+        for texts in batches:
+            for t in texts.column(0).to_pylist():
+                for w, (n, c) in capitals([t]).items():
+                    had = seen.setdefault(w, [0, 0])
+                    had[0] += n
+                    had[1] += c
+                if len(seen) > most:
+                    yield batch(seen)
+                    seen = {}
+        yield batch(seen)
+
+    words = documents.select(F.col(text)).mapInArrow(count, "word string, n bigint, capital bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital"))
+    name = (F.col("n") >= least) & (F.col("capital") >= share * F.col("n"))
+    rows = words.groupBy(F.when(name, F.col("word")).alias("word")).agg(F.sum("n").alias("n"), F.sum("capital").alias("capital")).collect()
+    return {r.word: [r.n, r.capital] for r in rows if r.word is not None}, sum(r.n for r in rows)
+
+
+def feature_rates(documents: DataFrame, names: frozenset[str], text: str = "text", size: int = 1 << 16) -> np.ndarray:
+    """Share of the stretches of all documents that hold each hashed feature; a task sends at most ``size`` sums."""
+    shared = documents.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = np.zeros(size + 1, dtype=np.int64), {}
+        for texts in batches:
+            for t in texts.column(0).to_pylist():
+                for s in sentences(t):
+                    for part in stretches(tokens(s, shared.value)):
+                        if part:
+                            held[size] += 1
+                            held[list(set(features(part, size, known)))] += 1
+                    if len(known) > 300_000:
+                        known.clear()
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["feature", "n"])
+
+    rows = documents.select(F.col(text)).mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    held = np.zeros(size + 1)
+    for r in rows:
+        held[r.feature] = r.n
+    return held[:size] / max(held[size], 1.0)
+
+
+def fit_table(examples: DataFrame, documents: DataFrame | None = None, most_examples: int = 20_000, size: int = 1 << 16, terms: tuple[str, ...] = IDENTITY, **params) -> Model:
     """Fit on a table ``text, label``; at most ``most_examples`` rows in hash order reach the driver.
 
-    Of ``documents``, at most ``most_documents`` texts in hash order show the ordinary language.
+    Of ``documents``, all of them, only counts reach it.
     """
     rows = (examples.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select("text", "label")
             .orderBy(F.xxhash64("text", "label"), "text", "label").limit(most_examples).collect())
-    plain: list[str] = []
-    if documents is not None:
-        short = documents.where(F.length("text").between(1, 5_000)).select("text")
-        plain = [r.text for r in short.orderBy(F.xxhash64("text"), "text").limit(most_documents).collect()]
-    return fit([(r.text, r.label) for r in rows], plain, **params)
+    pairs = [(r.text, r.label) for r in rows]
+    language = None
+    if documents is not None and pairs:
+        ordinary = documents.select("text").unionByName(examples.where("label = 'none'").select("text"))
+        names = names_of(pairs, *count_capitals(ordinary), terms)
+        language = Language(names, feature_rates(documents, names, size=size))
+    return fit(pairs, language, size=size, terms=terms, **params)
 
 
 def score_documents(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -230,3 +230,28 @@ def test_scores_of_tables(spark, model):
     assert moderation.score_documents(docs.limit(0), model).count() == 0
     empty = moderation.fit_table(spark.createDataFrame([], "text string, label string"), docs)
     assert moderation.flagged(moderation.score_documents(docs, empty), empty).count() == 0
+
+
+@pytest.mark.parametrize("insult", ["Hey keeper, you are a disgrace.", "You are a disgrace to the club."])
+def test_unlabelled_insults_are_not_taught_as_harmless(spark, insult):
+    plain = ["The match ended one nil. The winger won a corner.", "Rain fell on the stand. Tickets are gone."]
+    texts = [f"{plain[k % 2]} Round {k}." for k in range(600)] + [f"Round {k}. {insult}" for k in range(6)]
+    model = moderation.fit_table(spark.createDataFrame(training(), "text string, label string"), documents(spark, texts))
+    assert model.text(insult)[0] >= 0.5 and model.text(plain[0]).max() < 0.5
+
+
+def test_language_is_counted_over_all_documents_whole(spark):
+    examples = spark.createDataFrame(training(), "text string, label string")
+    texts = [f"Round {k} of the cup was played in the rain." for k in range(1200)] + ["the ball went to Zyskaberin again. " * 400] * 3
+    d = documents(spark, [*texts, None, ""])
+    counted, total = moderation.count_capitals(d)
+    assert counted["zyskaberin"] == [1200, 1200] and "the" not in counted
+    assert total == sum(n for n, _ in moderation.capitals(texts).values())
+    model = moderation.fit_table(examples, d)
+    assert "zyskaberin" in model.names
+    rates = moderation.feature_rates(d, model.names)
+    assert rates.max() <= 1.0
+    one = moderation._hash("c<rain>", 1 << 16)
+    assert rates[one] == pytest.approx(1200 / 2400)
+    twice = moderation.feature_rates(d.unionByName(d), model.names)
+    assert np.allclose(rates, twice)
