@@ -86,7 +86,9 @@ def scatter_by_track(track: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndar
     err, owner = err[inner], track[1:-1][inner]
     if not len(err):
         return out
-    block = np.median(err) / 1.44
+    # One leap spoils up to three errors: among very few they would be the median.
+    calm = err if len(err) >= 20 else np.sort(err)[:-3]
+    block = np.median(calm) / 1.44 if len(calm) else 0.1
     order = np.lexsort((err, owner))
     err, owner = err[order], owner[order]
     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -141,6 +143,7 @@ def off_course(candidate: np.ndarray, good: np.ndarray, track, t, x, y, scatter,
     neighbour itself) comes nearer than ``max(floor, sigmas * scatter)`` plus what a push of
     ``push`` m/s2 explains over the time to the nearer neighbour.  Where only one side is
     within ``reach`` seconds, the reading must also be out of running distance at ``pace``.
+    A candidate that is itself good is no neighbour of its own.
     """
     at = np.flatnonzero(candidate)
     if not len(at):
@@ -149,7 +152,7 @@ def off_course(candidate: np.ndarray, good: np.ndarray, track, t, x, y, scatter,
     place = np.searchsorted(keep, at)
     with np.errstate(invalid="ignore", over="ignore"):
         ax, ay, pax, pay, da = _side(keep, place, -1, track, t, x, y, at, reach)
-        bx, by, pbx, pby, db = _side(keep, place, 1, track, t, x, y, at, reach)
+        bx, by, pbx, pby, db = _side(keep, place + good[at], 1, track, t, x, y, at, reach)
         share = da / np.maximum(da + db, 1e-9)
         ix, iy = pax + (pbx - pax) * share, pay + (pby - pay) * share
         each = [np.hypot(x[at] - u, y[at] - v) for u, v in ((ax, ay), (bx, by), (ix, iy), (pax, pay), (pbx, pby))]
@@ -160,3 +163,29 @@ def off_course(candidate: np.ndarray, good: np.ndarray, track, t, x, y, scatter,
         run = np.fmin(each[3], each[4]) > pace * wait + np.maximum(floor, sigmas * scatter[at])
         off = np.where(one, run & (wait <= 2.0), True) & (far > allowed)
     return at[off & ~np.isnan(far)]
+
+
+def longest_course(track, t, x, y, slack, short: np.ndarray, *, pace: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the few readings of every ``short`` track: (on its longest course, the course holds most of them).
+
+    A course is a chain of readings, each within running distance (and ``slack``) of the next.
+    """
+    on, most = np.zeros(len(t), dtype=bool), np.zeros(len(t), dtype=bool)
+    where = np.flatnonzero(short)
+    heads = np.flatnonzero(np.append(True, track[where][1:] != track[where][:-1])) if len(where) else where
+    for a, b in zip(heads, np.append(heads[1:], len(where))):
+        k = where[a:b]
+        far = np.hypot(x[k][:, None] - x[k], y[k][:, None] - y[k])
+        near = far <= pace * np.abs(t[k][:, None] - t[k]) + slack[k]
+        length, before = np.ones(len(k), dtype=int), np.full(len(k), -1)
+        for j in range(1, len(k)):
+            best = np.where(near[:j, j], length[:j], 0)
+            i = int(j - 1 - np.argmax(best[::-1]))
+            if best[i]:
+                length[j], before[j] = best[i] + 1, i
+        j = int(np.argmax(length))
+        most[k] = 2 * length[j] > len(k)
+        while j >= 0:
+            on[k[j]] = True
+            j = before[j]
+    return on, most

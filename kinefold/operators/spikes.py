@@ -3,7 +3,8 @@
 Positions: per block (source x stretch of time) the readings of every track are cut into
 profiles of ``width`` readings; robust principal components split the profile matrix of the
 source into low-rank normal movement and sparse spikes.  Sparse entries are candidates, and
-an exact test against the track's course before and after decides.  Constant runs and ranges
+an exact test against the track's course before and after decides.  Tracks too short for a
+profile are tested reading by reading against their longest course.  Constant runs and ranges
 are tested apart.  Summaries: the same split on the player profiles of a source.
 
 Defined results: empty tables give no rows; rows without source, order key or id belong to
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinefold.operators.blocks import HALO, SPAN, block_readings, line_blocks, usable
-from kinefold.operators.robust_pca import MAD_TO_SIGMA, detrend, off_course, profile_windows, robust_pca, scatter_by_track
+from kinefold.operators.robust_pca import MAD_TO_SIGMA, detrend, longest_course, off_course, profile_windows, robust_pca, scatter_by_track
 
 LEAP, RANGE, FROZEN = "leap", "range", "frozen"
 
@@ -64,7 +66,7 @@ def spikes_in_block(track, frame, x, y, p: SpikeParams) -> tuple[np.ndarray, np.
     cy = np.clip(y, -2 * p.half_width, 2 * p.half_width)
     scatter = scatter_by_track(track, t, cx, cy)
     index = profile_windows(starts, counts, p.width)
-    candidate = counts[track] < p.width
+    candidate = np.zeros(n, dtype=bool)
     if len(index):
         matrix = np.concatenate([detrend(cx[index], t[index]), detrend(cy[index], t[index])])
         _, sparse, _ = robust_pca(matrix, p.rank)
@@ -72,9 +74,15 @@ def spikes_in_block(track, frame, x, y, p: SpikeParams) -> tuple[np.ndarray, np.
         candidate[index[hit]] = True
     candidate &= ~out
     good = ~candidate & ~out
-    short = counts[track] < p.width
-    good |= short & ~out  # a short track has no profile: its own neighbours are the course
-    leap[off_course(candidate, good, track, t, cx, cy, scatter, floor=p.floor, sigmas=p.sigmas, push=p.push, pace=p.pace, reach=p.reach)] = True
+    test = partial(off_course, track=track, t=t, x=cx, y=cy, scatter=scatter, floor=p.floor, sigmas=p.sigmas, push=p.push, pace=p.pace, reach=p.reach)
+    # A short track has no profile: its longest course is good, each reading is tested without itself.
+    short = (counts[track] < p.width) & ~out
+    on, most = longest_course(track, t, cx, cy, np.maximum(p.floor, p.sigmas * scatter), short, pace=p.pace)
+    good &= ~short | on
+    candidate |= short & most & ~on
+    first = test(short & most & on, good)
+    candidate[first], good[first] = True, False
+    leap[test(candidate, good)] = True
     return leap, out
 
 

@@ -147,3 +147,31 @@ def test_false_summaries(spark):
     got = {(r.field.split(".")[1], r.id) for r in summary_spikes(df).collect()}
     assert got == {("max_speed_ms", 3), ("max_speed_ms", 4), ("distance_m", 5), ("distance_m", 6)} | {("max_speed_ms", k) for k in range(21, 28)}
     assert summary_spikes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 4, 10, 15])
+def test_leaps_in_short_tracks(make_frames, n):
+    f = 5 * np.arange(n)
+    for k in range(n):
+        x, y = 0.2 * f / 5 - 20.0, np.full(n, 3.0) + 0.01 * (np.arange(n) % 3)
+        assert position_spikes(make_frames(lines_of({1: (f, x, y)}))).count() == 0
+        x[k] += 40.0
+        got = {(r.frame, r.reason) for r in position_spikes(make_frames(lines_of({1: (f, x, y)}))).collect()}
+        assert got == {(5 * k, "leap")}
+        if n == 10 and k > 1:
+            break
+
+
+def test_leap_in_the_short_end_of_a_long_track(make_frames):
+    f = 5 * np.arange(108)
+    x, y = 0.1 * np.arange(108) - 20.0, np.full(108, 3.0) + 0.01 * (np.arange(108) % 3)
+    x[103] += 40.0
+    frames = make_frames(lines_of({1: (f, x, y)}))
+    for halo in (0, 25):
+        assert {(r.frame, r.reason) for r in position_spikes(frames, span=500, halo=halo).collect()} == {(515, "leap")}
+
+
+def test_short_tracks_without_a_majority_are_left_alone(make_frames):
+    f = 5 * np.arange(4)
+    x = np.array([-20.0, 20.0, -20.0, 20.0])
+    assert position_spikes(make_frames(lines_of({1: (f, x, 0 * x), 2: (f[:2], x[:2], 0 * x[:2]), 3: (f[:1], x[:1], x[:1])}))).count() == 0
