@@ -5,7 +5,9 @@ profiles of ``width`` readings; robust principal components split the profile ma
 source into low-rank normal movement and sparse spikes.  Sparse entries are candidates, and
 an exact test against the track's course before and after decides.  Tracks too short for a
 profile are tested reading by reading against their longest course.  Constant runs and ranges
-are tested apart.  Summaries: the same split on the player profiles of a source.
+are tested apart.  Summaries: the same split on the player profiles of a source decides on top
+speeds, and on distances without a known average speed; the other distances are tested apart,
+against seconds x average speed and the range.
 
 Defined results: empty tables give no rows; rows without source, order key or id belong to
 nothing and are left out; null, NaN and infinite values are never flagged; repeated
