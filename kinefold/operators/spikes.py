@@ -187,18 +187,14 @@ def _log(v: np.ndarray) -> np.ndarray:
         return np.where(v > 0, np.log(np.where(v > 0, v, 1.0)), np.nan)
 
 
-def _scaled(v: np.ndarray, least: float) -> np.ndarray:
-    """Robust z of the finite entries; the others stay NaN."""
-    if not np.isfinite(v).any():
-        return np.full(len(v), np.nan)
-    centre = np.nanmedian(v)
-    return (v - centre) / max(MAD_TO_SIGMA * np.nanmedian(np.abs(v - centre)), least)
+def summary_spikes_in_block(seconds, distance, average, top, centre: np.ndarray, spread: np.ndarray, p: SummaryParams) -> tuple[np.ndarray, np.ndarray]:
+    """(false top speeds, false distances) among summaries of one source.
 
-
-def summary_spikes_in_block(seconds, distance, average, top, p: SummaryParams) -> tuple[np.ndarray, np.ndarray]:
-    """(false top speeds, false distances) among the summaries of one source."""
+    ``centre`` and ``spread`` (median absolute deviation) are those of the whole source, of the
+    logarithms of top speed, pace and average speed; NaN where the source has none.
+    """
     pace = np.where(seconds > 0, distance / np.where(seconds > 0, seconds, 1.0), np.nan)
-    z = np.stack([_scaled(_log(top), p.least_sigma), _scaled(_log(pace), p.least_sigma), _scaled(_log(average), p.least_sigma)], axis=1)
+    z = (np.stack([_log(top), _log(pace), _log(average)], axis=1) - centre) / np.maximum(MAD_TO_SIGMA * spread, p.least_sigma)
     _, sparse, _ = robust_pca(np.nan_to_num(np.clip(z, -50, 50)), rank=1, cut=2.0)
     with np.errstate(invalid="ignore"):
         known = np.isfinite(top)
@@ -219,26 +215,45 @@ def summary_spikes(analytics: DataFrame, params: SummaryParams = SummaryParams()
     several versions, the one computed last holds.  Order within a source is ``id``.
     """
     names = ["seconds", "distance_m", "avg_speed_ms", "max_speed_ms"]
+    logs = ["_top", "_pace", "_average"]
     rows = (analytics.where(F.col("match_id").isNotNull() & F.col("id").isNotNull())
             .groupBy("match_id", "id").agg(F.max_by(F.struct(*[F.col(n).cast("double").alias(n) for n in names]), F.struct("computed_at", *names)).alias("s"))
             .select("match_id", "id", F.floor(F.col("id") / params.ids_per_block).alias("block"), "s.*"))
+    # Centre and spread are those of the match (a row each, so broadcast: a match may hold most rows);
+    # pieces, equal by hash, only bound the task.
+    pace = F.when(F.col("seconds") > 0, F.col("distance_m") / F.col("seconds"))
+    log = lambda c: F.when((c > 0) & (c < float("inf")), F.ln(c))
+    half = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    told = rows.withColumns(dict(zip(logs, (log(F.col("max_speed_ms")), log(pace), log(F.col("avg_speed_ms"))))))
+    centres = told.groupBy("match_id").agg(F.count("*").alias("_n"), *[half(c).alias(f"{c}_at") for c in logs])
+    placed = told.join(F.broadcast(centres), "match_id")
+    spreads = placed.groupBy("match_id").agg(*[half(F.abs(F.col(c) - F.col(f"{c}_at"))).alias(f"{c}_by") for c in logs])
+    pieces = placed.join(F.broadcast(spreads), "match_id").withColumn("piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / params.ids_per_block)))
+
+    def judge(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        ids = part["id"].to_numpy()
+        values = (np.asarray(part[n].to_pandas(), dtype=np.float64) for n in names)
+        centre, spread = (np.array([np.nan if (v := part[c + end][0].as_py()) is None else v for c in logs]) for end in ("_at", "_by"))
+        flags = summary_spikes_in_block(*values, centre, spread, params)
+        return pa.concat_tables([_marks(key[0].as_py(), np.array([column]), int(key[1].as_py()), {RANGE: [(0, ids[flag])]}, []) for column, flag in enumerate(flags)])
 
     def block(key: tuple, part: pa.Table) -> pa.Table:
         match_id, number = key[0].as_py(), int(key[1].as_py())
         part = part.sort_by("id")
         ids = part["id"].to_numpy()
-        seconds, distance, average, top = (np.asarray(part[n].to_pandas(), dtype=np.float64) for n in names)
-        fast, far = summary_spikes_in_block(seconds, distance, average, top, params)
         whole = np.zeros(len(ids), dtype=np.int64)
         tables = []
-        for column, (flag, value) in enumerate(((fast, top), (far, distance))):
+        for column, name in enumerate(("max_speed_ms", "distance_m")):
+            value = np.asarray(part[name].to_pandas(), dtype=np.float64)
             finite = np.isfinite(value)
             inside, edge = value_runs(whole[finite], ids[finite], value[finite], number, column, params.frozen_over)
-            found = {RANGE: [(0, ids[flag])], FROZEN: inside}
-            tables.append(_marks(match_id, np.array([column]), number, found, edge))
+            tables.append(_marks(match_id, np.array([column]), number, {FROZEN: inside}, edge))
         return pa.concat_tables(tables)
 
-    marks = rows.groupBy("match_id", "block").applyInArrow(block, _MARKS_DDL)
+    kept = ["match_id", "piece", "id", *names, *[f"{c}{end}" for c in logs for end in ("_at", "_by")]]
+    marks = (rows.select("match_id", "block", "id", "max_speed_ms", "distance_m").groupBy("match_id", "block").applyInArrow(block, _MARKS_DDL)
+             .unionByName(pieces.select(*kept).groupBy("match_id", "piece").applyInArrow(judge, _MARKS_DDL)))
     field = F.when(F.col("id") == 0, "analytics.max_speed_ms").otherwise("analytics.distance_m")
     return _resolve(marks, params.frozen_over).select(field.alias("field"), "match_id", F.col("place").alias("id"), "reason")
 

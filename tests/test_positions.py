@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinefold.operators.regular_grid import regular_seconds
 from kinefold.operators.robust_pca import robust_pca
-from kinefold.operators.spikes import position_spikes, spikes_in_block, summary_spikes, SpikeParams
+from kinefold.operators.spikes import position_spikes, spikes_in_block, summary_spikes, SpikeParams, SummaryParams
 from kinefold.operators.stops import stops_and_trips
 
 
@@ -175,3 +175,17 @@ def test_short_tracks_without_a_majority_are_left_alone(make_frames):
     f = 5 * np.arange(4)
     x = np.array([-20.0, 20.0, -20.0, 20.0])
     assert position_spikes(make_frames(lines_of({1: (f, x, 0 * x), 2: (f[:2], x[:2], 0 * x[:2]), 3: (f[:1], x[:1], x[:1])}))).count() == 0
+
+
+def test_false_summaries_are_judged_against_the_whole_match(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(205):
+        seconds, avg = float(rng.uniform(50, 500)), float(rng.uniform(1, 3))
+        rows.append(["m", i, None, None, None, 1, seconds, seconds * avg, avg, float(rng.uniform(5, 6)), 0, None])
+    for i in (50, 203):
+        rows[i][9] = 11.5 + i / 1000
+    df = spark.createDataFrame(rows, SUMMARY)
+    for size in (4096, 100):
+        got = {(r.field.split(".")[1], r.id) for r in summary_spikes(df, SummaryParams(ids_per_block=size)).collect()}
+        assert got == {("max_speed_ms", i) for i in (50, 203)}
