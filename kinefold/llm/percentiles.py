@@ -3,10 +3,11 @@
 Relative-rank compactors: a level keeps up to a few sections of sorted values; when it is
 full, the values far from the protected (upper) tail are compacted (every other one moves up
 a level with twice the weight), those near the tail stay.  So the rank of a value is known
-within a share of its distance in rank from the top.  Sketches of days, matches or partitions
+within a share of its distance in rank from the top.  A second sketch (``lower``) of the negated
+values does the same from the bottom, for shares below a half.  Sketches of days, matches or partitions
 merge level by level and keep that error.
 
-A sketch is a set of rows ``level, state, items, n, least, most``, so partial results can be
+A sketch is a set of rows ``lower, level, state, items, n, least, most``, so partial results can be
 stored and combined later with ``merge_sketches``.
 
 Defined results: null and NaN do not count; a group without values has a row with n = 0 and
@@ -111,6 +112,13 @@ class RelativeSketch:
             out.append(float(self.least) if q <= 0 else float(self.most) if q >= 1 else float(values[min(np.searchsorted(ranks, target), len(values) - 1)]))
         return out
 
+    def from_top(self, places: list[int]) -> list[float | None]:
+        """Kept value at each rank counted from the top (1 is the greatest)."""
+        if not self.n:
+            return [None] * len(places)
+        values, ranks = self.weighted()
+        return [float(values[np.searchsorted(ranks, ranks[-1] - min(max(k, 1), ranks[-1]) + 1)]) for k in places]
+
     def rows(self) -> list[tuple]:
         """``level, state, items, n, least, most``; n is told once, at level 0."""
         known = self.n > 0
@@ -134,7 +142,7 @@ def deduplicated(rows: DataFrame, columns: list[str], when: str) -> DataFrame:
 
 
 def build_sketches(rows: DataFrame, by: list[str], value: str, k: int = K) -> DataFrame:
-    """``by..., sketch rows``: partial sketches of every task's rows (no shuffle; merge them next).
+    """``by..., sketch rows``: partial sketches of every task's rows, upper and lower (no shuffle; merge them next).
 
     Every group seen gets a sketch, also one that holds only nulls.
     """
@@ -157,14 +165,16 @@ def build_sketches(rows: DataFrame, by: list[str], value: str, k: int = K) -> Da
             order = np.argsort(code, kind="stable")
             cuts = np.searchsorted(code[order], np.arange(len(codes) + 1))
             for group, c in codes.items():
-                kept.setdefault(group, RelativeSketch(k)).update(values[order[cuts[c]:cuts[c + 1]]])
+                mine = values[order[cuts[c]:cuts[c + 1]]]
+                for lower in (False, True):
+                    kept.setdefault((*group, lower), RelativeSketch(k)).update(-mine if lower else mine)
             if len(kept) > 20_000:
-                yield from _table(list(zip(by, types)), [(*g, *r) for g, s in kept.items() for r in s.rows()]).to_batches()
+                yield from _table([*zip(by, types), ("lower", pa.bool_())], [(*g, *r) for g, s in kept.items() for r in s.rows()]).to_batches()
                 kept.clear()
         if kept:
-            yield from _table(list(zip(by, types)), [(*g, *r) for g, s in kept.items() for r in s.rows()]).to_batches()
+            yield from _table([*zip(by, types), ("lower", pa.bool_())], [(*g, *r) for g, s in kept.items() for r in s.rows()]).to_batches()
 
-    return slim.mapInArrow(build, f"{ddl}, {_SKETCH}" if by else _SKETCH)
+    return slim.mapInArrow(build, f"{ddl}, lower boolean, {_SKETCH}" if by else f"lower boolean, {_SKETCH}")
 
 
 def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, salts: int = 1) -> DataFrame:
@@ -173,6 +183,7 @@ def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, salts: int =
     With ``salts`` above 1 a first round merges within so many random parts of each group, so
     that a group with very many partial sketches does not meet in one task at once.
     """
+    by = [*by, "lower"]
     kinds = {f.name: f.dataType for f in sketches.schema.fields}
     ddl = "".join(f"`{c}` {kinds[c].simpleString()}, " for c in by)
 
@@ -205,20 +216,22 @@ def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, salts: int =
 def percentiles_of(sketches: DataFrame, by: list[str], shares: list[float], k: int = K) -> DataFrame:
     """``by..., n, share, value, rank_error``: percentiles from merged sketches.
 
-    ``rank_error`` is the stated bound in ranks: a share of the rank counted from the top.
+    ``rank_error`` is the stated bound in ranks: a share of the rank counted from the nearer end.
     """
     kinds = {f.name: f.dataType for f in sketches.schema.fields}
     ddl = "".join(f"`{c}` {kinds[c].simpleString()}, " for c in by)
 
     def read(key: tuple, part: pa.Table) -> pa.Table:
-        s = RelativeSketch(k)
-        for level, state, items, n, least, most in zip(*(part[c].to_pylist() for c, _ in _FIELDS)):
-            s.merge(level, state, np.array(items, dtype=np.float64))
-            s.take(n, least, most)
-        exact = len(s.levels) == 1
-        values = s.quantiles(shares)
-        table = pa.table({"n": pa.array([s.n] * len(shares), type=pa.int64()), "share": shares, "value": pa.array(values, type=pa.float64()),
-                          "rank_error": pa.array([0.0 if exact else s.error() * s.n * (1 - q) + 1 for q in shares], type=pa.float64())})
+        sides = RelativeSketch(k), RelativeSketch(k)
+        for lower, level, state, items, n, least, most in zip(*(part[c].to_pylist() for c in ("lower", *(c for c, _ in _FIELDS)))):
+            sides[lower].merge(level, state, np.array(items, dtype=np.float64))
+            sides[lower].take(n, least, most)
+        upper, under = sides
+        low = under.from_top([int(np.ceil(q * under.n - 1e-9)) for q in shares])
+        values = [-v if 0 < q < 0.5 and v is not None else u for q, u, v in zip(shares, upper.quantiles(shares), low)]
+        bounds = [0.0 if len(sides[q < 0.5].levels) == 1 else upper.error() * upper.n * min(q, 1 - q) + 1 for q in shares]
+        table = pa.table({"n": pa.array([upper.n] * len(shares), type=pa.int64()), "share": shares, "value": pa.array(values, type=pa.float64()),
+                          "rank_error": pa.array(bounds, type=pa.float64())})
         for i, c in reversed([*enumerate(by)]):
             table = table.add_column(0, pa.field(c, part.schema.field(c).type), pa.array([part[c][0].as_py()] * table.num_rows, type=part.schema.field(c).type))
         return table

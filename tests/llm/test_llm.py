@@ -87,6 +87,16 @@ def test_percentiles_by_group_with_nulls(spark):
     assert all(r.within for r in rank_check(df, out, ["g"], "v").collect())
 
 
+def test_lower_percentiles_keep_a_relative_bound(spark):
+    df = spark.range(200_000).selectExpr("cast(id % 3 as int) as d", "exp(id / 20000d) as v").repartition(6)
+    shares = [0.001, 0.01, 0.05, 0.5, 0.99]
+    out = percentiles_of(merge_sketches(merge_sketches(build_sketches(df, ["d"], "v"), ["d"]), [], salts=3), [], shares)
+    for r in out.collect():
+        rank, goal = np.log(r.value) * 20_000 + 1, np.ceil(r.share * 200_000)
+        assert r.n == 200_000 and r.rank_error <= 0.0625 * 200_000 * min(r.share, 1 - r.share) + 1
+        assert abs(rank - goal) <= r.rank_error + 0.01
+
+
 def test_percentiles_of_an_empty_table(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert percentiles_of(merge_sketches(build_sketches(df, ["g"], "v"), ["g"]), ["g"], [0.5]).count() == 0
