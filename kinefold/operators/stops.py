@@ -33,7 +33,7 @@ class StopParams:
     eps: float = 0.9            # neighbourhood in space: at least this ...
     eps_sigmas: float = 4.0     # ... or so many scatters
     tau: float = 3.0            # neighbourhood in time, either side
-    density: float = 0.5        # share of the pings near in time that must be near in space
+    density: float = 0.85       # share of the pings near in time, on the better side, that must be near in space
     spot: float = 1.5           # clusters about one spot are one
     least_cluster: float = 0.8  # shorter runs of cores are noise
     bridge: float = 2.0         # noise shorter than this between them is scatter
@@ -54,7 +54,7 @@ def frozen(track: np.ndarray, x: np.ndarray, y: np.ndarray, over: int) -> np.nda
 
 
 def core_pings(session: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray, eps: np.ndarray, tau: float, density: float) -> np.ndarray:
-    """ST-DBSCAN's core test: share of the pings within ``tau`` that lie within ``eps``.
+    """ST-DBSCAN's core test: at least ``density`` of the pings within ``tau`` lie within ``eps``.
 
     Sides count apart and the denser one decides, so the first and last ping of a stop are cores.
     """
@@ -72,7 +72,7 @@ def core_pings(session: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray,
         near[1, a] += close
         near[0, b] += close
     share = (near + 1) / (there + 1)
-    return (share >= density + 0.35).any(axis=0) & (there.sum(axis=0) > 0)
+    return (share >= density).any(axis=0) & (there.sum(axis=0) > 0)
 
 
 def _arrival(t, x, y, outside: np.ndarray, inside_t: float, cx: float, cy: float) -> float:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinefold.operators.regular_grid import regular_seconds
 from kinefold.operators.robust_pca import robust_pca
 from kinefold.operators.spikes import position_spikes, spikes_in_block, summary_spikes, SpikeParams, SummaryParams
-from kinefold.operators.stops import stops_and_trips
+from kinefold.operators.stops import core_pings, stops_and_trips
 
 
 def walk(seed=0, stops=((20, 20), (70, 15)), end=120, pace=5, sigma=0.1):
@@ -189,3 +189,10 @@ def test_false_summaries_are_judged_against_the_whole_match(spark):
     for size in (4096, 100):
         got = {(r.field.split(".")[1], r.id) for r in summary_spikes(df, SummaryParams(ids_per_block=size)).collect()}
         assert got == {("max_speed_ms", i) for i in (50, 203)}
+
+
+def test_density_of_a_core_is_the_parameter():
+    t = np.arange(0, 10, 0.5)
+    x = np.where(np.arange(20) % 4 == 1, 5.0, 0.0)
+    args = np.zeros(20, dtype=int), t, x, 0 * x, np.full(20, 0.9), 3.0
+    assert core_pings(*args, 0.7)[x == 0].all() and not core_pings(*args, 0.9)[6:14].any()
