@@ -466,3 +466,23 @@ def comparison(spark, sf):
     lines = _lines(spark, sf)
     a, b = [r.match_id for r in lines.select("match_id").distinct().orderBy("match_id").limit(2).collect()]
     return feat.comparison(_people(spark, sf), lines, _balls(spark, sf), a, b).where("metric <> 'avg_distance_m'")
+
+
+# The whole of three queries above, whose SQL compares a part: no SQL, a test on a small fixture.
+
+
+@REGISTRY.add("smoothed_whole")
+def smoothed_whole(spark, sf):
+    return rec.smoothed(_points(spark, sf))
+
+
+@REGISTRY.add("moving_average_whole")
+def moving_average_whole(spark, sf):
+    return rec.moving_average(_points(spark, sf)).select("match_id", "id", "frame", "x", "y")
+
+
+@REGISTRY.add("comparison_whole")
+def comparison_whole(spark, sf):
+    lines = _lines(spark, sf)
+    a, b = [r.match_id for r in lines.select("match_id").distinct().orderBy("match_id").limit(2).collect()]
+    return feat.comparison(_people(spark, sf), lines, _balls(spark, sf), a, b)

@@ -111,3 +111,16 @@ def test_features_of_nothing(op, make_frames):
     frames = make_frames({("m", 1): [(1, 0, 0)]})
     assert op(frames.limit(0)).count() == 0
     assert op(frames.select(*[F.lit(None).cast(t).alias(c) for c, t in frames.dtypes])).count() == 0
+
+
+def test_whole_queries_drop_no_rows_and_no_metric(spark, make_frames, tmp_path):
+    from kinefold.plans import recording_queries as queries
+
+    far = {(m, f): [(1, 5000.0 if f == 3 else float(f), 1.0)] for m in ("a", "b") for f in range(7)}
+    make_frames(far).write.parquet(str(tmp_path / "frames.parquet"))
+    assert {"smoothed_whole", "moving_average_whole", "comparison_whole"} <= set(queries.REGISTRY.queries)
+    smooth, mean = queries.smoothed_whole(spark, str(tmp_path)), queries.moving_average_whole(spark, str(tmp_path))
+    assert smooth.count() == mean.count() == 14
+    got = {(r.match_id, r.frame): r.x for r in mean.collect()}
+    assert got["a", 3] == pytest.approx(5018 / 7) and got["a", 0] == 0.0
+    assert "avg_distance_m" in {r.metric for r in queries.comparison_whole(spark, str(tmp_path)).collect()}
