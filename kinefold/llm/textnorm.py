@@ -51,4 +51,6 @@ _MARKS = re.compile("[̀-ͯ]+")
 
 def plain_python(text: str) -> str:
     """The folding of :func:`plain_text` for text that is worked on in Python, case kept out."""
+    if text.isascii():
+        return text.lower()
     return _MARKS.sub("", _HIDDEN.sub("", text).lower().translate(_FOLD))

@@ -1,7 +1,9 @@
 """Operators for training data against brute force, with odd input."""
 
 import itertools
+import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -254,14 +256,39 @@ def test_language_is_counted_over_all_documents_whole(spark):
     examples = spark.createDataFrame(training(), "text string, label string")
     texts = [f"Round {k} of the cup was played in the rain." for k in range(1200)] + ["the ball went to Zyskaberin again. " * 400] * 3
     d = documents(spark, [*texts, None, ""])
-    counted, total = moderation.count_capitals(d)
-    assert counted["zyskaberin"] == [1200, 1200] and "the" not in counted
-    assert total == sum(n for n, _ in moderation.capitals(texts).values())
     model = moderation.fit_table(examples, d)
-    assert "zyskaberin" in model.names
+    assert "zyskaberin" in model.names and "the" not in model.names
     rates = moderation.feature_rates(d, model.names)
-    assert rates.max() <= 1.0
-    one = moderation._hash("c<rain>", 1 << 16)
-    assert rates[one] == pytest.approx(1200 / 2400)
+    one = zlib.crc32(b"<rain>") % (1 << 16)
+    words = 1200 * 10 + 3 * 400 * 6
+    assert rates[one] == pytest.approx(1200 / words * moderation.WIDTH, rel=0.01)
     twice = moderation.feature_rates(d.unionByName(d), model.names)
     assert np.allclose(rates, twice)
+
+
+def test_batch_scores_equal_a_sum_over_features(model):
+    texts = [None, "", "You are a worthless idiot.", " ".join(f"word{k % 7} and" for k in range(40)) + ". Go home you ugly clown; the match ended", "x"]
+    lexicon = moderation.Lexicon(model.size, model.names)
+    for text, got in zip(texts, model.scorer().texts(texts)):
+        parts = [p for s in moderation.sentences(text) for p in moderation.stretches(moderation.tokens(s, model.names))]
+        want = moderation.softmax(moderation.Rows(parts, lexicon).times(model.weights) + model.bias)[:, 1:].max(axis=0) if parts else np.zeros(3)
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_group_terms_are_derived():
+    found = {" ".join(t) for t in moderation.fit(training()).terms}
+    assert {"velish", "tethians", "foreigners", "oskarin", "women"} >= found and len(found) >= 4
+
+
+@pytest.fixture(scope="module")
+def table_model(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    return moderation.fit_table(spark.read.parquet(f"{folder}/moderation_examples.parquet"), spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+@pytest.mark.parametrize("text", ["Velish immigrants are lovely people.", "Women are welcome at the club.", "And Brimllomund has carried the ball there, to be fair, tidy stuff from number 29",
+                                  "Ulmbascot the analyst repeats the yellow dugout under row 15", "Someone wrote 'a yellow stopwatch, Haskthropp the analyst' and left it at that"])
+def test_harmless_texts(table_model, text):
+    assert table_model.text(text).max() < 0.5
