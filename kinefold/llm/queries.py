@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinefold.llm.leakage import leaked, leaks_by_item
+from kinefold.llm.leakage import leaked, leaks_by_item, phrase_matches, postings
 from kinefold.llm.moderation import fit_table, flagged, rates_by_source, score_documents
 from kinefold.llm.mixing import mixture, shares_reached
 from kinefold.llm.percentiles import build_sketches, deduplicated, merge_sketches, percentiles_of, rank_check
@@ -52,6 +52,18 @@ def p6_leaks_by_item(spark, sf):
     return leaks_by_item(leaked(table(spark, sf, "documents"), items), items)
 
 
+@REGISTRY.add("p6_openings", r"""with
+d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' as t from documents where text is not null),
+i as (select item_id, ' ' || array_to_string(regexp_extract_all(lower(passage), '[a-z0-9]+')[1:8], ' ') || ' ' as p from eval_items where passage is not null)
+select doc_id, item_id from d, i where contains(t, p) and p <> '  '""")
+def p6_openings(spark, sf):
+    """Exact phrases: the first eight words of every passage, found by intersecting postings, in plain ASCII words."""
+    plain = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    index = postings(table(spark, sf, "documents").select("doc_id", plain(F.col("text")).alias("words")))
+    openings = table(spark, sf, "eval_items").select("item_id", F.slice(plain(F.col("passage")), 1, 8).alias("words"))
+    return phrase_matches(index, openings).select("doc_id", "item_id").distinct()
+
+
 @REGISTRY.add("p8_found")
 def p8_found(spark, sf):
     documents = table(spark, sf, "documents")

@@ -128,6 +128,31 @@ def test_altered_pieces_are_found_and_quotes_are_not(spark):
     assert found == set(range(10))
 
 
+def test_short_passages_are_found_whole(spark):
+    texts = ["They asked what is offside again.", "The keeper saved the penalty in the end.", "Offside, what is it?", "The keeper saved it, the penalty was poor.", "A goal.", "They saw the keeper saved the penalty and what is offside"]
+    test = items(spark, "what is offside", "keeper saved the penalty", "goal", "the end the end the")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked(documents(spark, texts), test).collect()} == {(0, 0), (1, 1), (4, 2), (5, 1), (5, 0)}
+
+
+def test_recall_against_alignment_with_all_rows(spark):
+    """Halves of passages in pieces, with added, lost and misspelt words: every pair that the alignment accepts is a candidate."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("lan", "tor", "mib", "sal", "que", "dor") for b in ("tern", "gate", "ling", "some", "ver", "pole")]
+    passages = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(28, 80))) for _ in range(30)]
+    texts = []
+    for k in range(300):
+        w = rng.choice(passages).split()
+        n = max(2, int(len(w) * rng.uniform(0.3, 1.0)))
+        start, cut = rng.randrange(len(w) - n + 1), rng.randrange(1, n)
+        piece = [x if rng.random() > 0.08 else x[:-1] for x in w[start:start + n] if rng.random() > 0.05]
+        filler = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
+        texts.append(" ".join(piece[:cut] + filler[:30] * (k % 2) + piece[cut:] + filler[30:]))
+    found = {(r.doc_id, r.item_id) for r in leakage.leaked(documents(spark, texts), items(spark, *passages)).collect()}
+    ready = [leakage.Passage(p.split()) for p in passages]
+    want = {(d, i) for d, t in enumerate(texts) for i, p in enumerate(ready) if leakage.aligned_share(p, t.split()) >= 0.5}
+    assert found <= want and len(want) > 150 and len(found) >= 0.97 * len(want)
+
+
 def test_long_text_copies_and_odd_tables(spark):
     long = "word " * 200_000 + PASSAGE + " tail" * 1000
     docs = documents(spark, [long, PASSAGE, PASSAGE]).withColumn("words", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("term", F.lit("t"))
