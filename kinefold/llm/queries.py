@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinefold.llm.leakage import leaked, leaks_by_item, phrase_matches, postings
 from kinefold.llm.moderation import fit_table, flagged, rates_by_source, score_documents
-from kinefold.llm.mixing import mixture, shares_reached
+from kinefold.llm.mixing import draw, goals, language, margins_reached, mixture, plan, shares_reached, sized
 from kinefold.llm.percentiles import build_sketches, deduplicated, merge_sketches, percentiles_of, rank_check
 from kinefold.llm.runs import label_runs
 from kinefold.plans.registry import Registry
@@ -94,21 +94,28 @@ def _summaries(spark, sf):
 
 
 def _speed_percentiles(rows):
-    daily = merge_sketches(build_sketches(rows, ["day", *GROUPS], "avg_speed_ms"), ["day", *GROUPS])
+    daily = merge_sketches(build_sketches(rows, ["day", *GROUPS], "avg_speed_ms"), ["day", *GROUPS], salts=16)
     return percentiles_of(merge_sketches(daily, GROUPS, salts=8), GROUPS, SHARES)
 
 
-@REGISTRY.add("p3_speed_percentiles")
-def p3_speed_percentiles(spark, sf):
-    return _speed_percentiles(_summaries(spark, sf))
+_SHARES_SQL = ", ".join(f"({s}::double)" for s in SHARES)
 
 
-_SHARES_SQL = ", ".join(f"({s}::double)" for s in SHARES)
+# a group of up to 1,536 values is not compacted: its percentiles are the exact ones, with error 0
+@REGISTRY.add("p3_speed_percentiles", f"""with
+once as (select distinct match_id, id, team, role, seconds, distance_m, avg_speed_ms, max_speed_ms from analytics),
+sizes as (select team, role, count(case when not isnan(avg_speed_ms) then 1 end) as n from once group by team, role),
+ranked as (select team, role, avg_speed_ms as v, row_number() over (partition by team, role order by avg_speed_ms) as rn from once where avg_speed_ms is not null and not isnan(avg_speed_ms))
+select z.team, z.role, z.n, s.share, r.v as value, case when z.n <= 1536 then 0.0::double end as rank_error
+from sizes z cross join (values {_SHARES_SQL}) as s(share)
+left join ranked r on r.team is not distinct from z.team and r.role is not distinct from z.role and r.rn = greatest(1, ceil(s.share * z.n - 1e-9))""")
+def p3_speed_percentiles(spark, sf):
+    return _speed_percentiles(_summaries(spark, sf))
 
 
-@REGISTRY.add("p3_error_is_kept", f"""select team, role, share, true as within
-from (select distinct team, role from analytics), (values {_SHARES_SQL}) as s(share)""")
+@REGISTRY.add("p3_error_is_kept")
 def p3_error_is_kept(spark, sf):
+    """True ranks of the estimates against the stated error; the engine's own check, so it has no SQL."""
     rows = _summaries(spark, sf)
     return rank_check(rows, _speed_percentiles(rows), GROUPS, "avg_speed_ms")
 
@@ -130,3 +137,27 @@ def p7_mixture(spark, sf):
 def p7_shares_reached(spark, sf):
     documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
     return shares_reached(documents, targets, mixture(documents, targets))
+
+
+@REGISTRY.add("p7_margins_reached")
+def p7_margins_reached(spark, sf):
+    sizes = sized(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return margins_reached(sizes, draw(sizes, plan(sizes, table(spark, sf, "mix_targets"))))
+
+
+@REGISTRY.add("p7_goals_by_length", """with
+held as (select source, sum(length(text)) as held from documents where length(text) > 0 group by source),
+usable as (select t.source, t.target_share, t.max_repeats, h.held from mix_targets t join held h using (source) where t.target_share > 0 and t.max_repeats > 0),
+whole as (select sum(target_share) as shares, min(max_repeats * held / (target_share / (select sum(target_share) from usable))) as total from usable)
+select u.source, u.held::bigint as held, round(w.total * u.target_share / w.shares)::bigint as goal, true as met, true as within_cap from usable u, whole w""")
+def p7_goals_by_length(spark, sf):
+    """The mixture with characters for tokens, which SQL can count: goals by source, each met within 2 %, no cap passed."""
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    sizes = (documents.where(F.length("text") > 0).join(targets.select("source").distinct(), "source", "left_semi")
+             .select("doc_id", "source", language(F.coalesce("lang", F.lit(""))).alias("language"), F.lit("all").alias("topic"), F.length("text").cast("bigint").alias("tokens")))
+    made = plan(sizes, targets)
+    got = draw(sizes, made).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"), F.max("copies").alias("highest"))
+    held = sizes.groupBy("source").agg(F.sum("tokens").alias("held"))
+    return (goals(sizes, made).join(held, "source").join(got, "source", "left").join(targets.select("source", "max_repeats"), "source")
+            .select("source", "held", F.round("goal").cast("bigint").alias("goal"), (F.abs(F.coalesce("got", F.lit(0)) - F.col("goal")) <= F.greatest(F.lit(3000.0), 0.02 * F.col("goal"))).alias("met"),
+                    (F.coalesce("highest", F.lit(0)) <= F.col("max_repeats")).alias("within_cap")))

@@ -62,11 +62,11 @@ def test_sketch_error_near_the_top(law):
         s.update(p)
     whole = RelativeSketch()
     for s in parts:
-        for level, state, items, n, least, most in s.rows():
+        for _, level, state, items, n, least, most in s.rows():
             whole.merge(level, state, items)
             whole.take(n, least, most)
     whole._compress()
-    assert whole.n == len(v) and sum(len(x) for x in whole.levels) < 20_000
+    assert whole.n == len(v) and sum(len(x) for x in whole.levels) < 320 * whole.k
     order = np.sort(v)
     for q in (0.01, 0.25, 0.5, 0.9, 0.99, 0.999, 0.9999):
         x = whole.quantiles([q])[0]
@@ -209,6 +209,21 @@ def test_mixture_shares_and_caps(spark):
     assert mixing.mixture(d.limit(0), t).count() == 0 and mixing.mixture(d, t.limit(0)).count() == 0
 
 
+def test_a_source_without_repeats_is_unmet_and_the_others_are_mixed():
+    made = mixing.rake([("a", "en", "t"), ("b", "en", "t")], np.array([100.0, 100.0]), {"a": (0.5, 0), "b": (0.5, 2)})
+    assert made.shares == {"b": 1.0} and made.total == 200.0 and made.weights == [0.0, 2.0]
+
+
+def test_topics_are_told_apart():
+    rng = np.random.default_rng(0)
+    counts = np.zeros((200, mixing.FEATURES))
+    for k in range(200):
+        np.add.at(counts[k], rng.integers(0, 100, 40) + 200 * (k % 2), 1)
+    near = mixing.fit_topics(counts, 2).nearest(counts)
+    assert len(set(near[::2])) == len(set(near[1::2])) == 1 and near[0] != near[1]
+    assert mixing.fit_topics(counts[:0]).nearest(counts).max() == 0
+
+
 def test_token_counts_of_long_and_empty_texts(spark):
     text = "The keeper holds the ball. " * 6000
     n = {r.doc_id: r.tokens for r in mixing.count_tokens(documents(spark, [text, "The keeper holds the ball. ", "", None])).collect()}
