@@ -21,6 +21,7 @@ each; repeated items each report; instructions are not searched; extra columns a
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -118,6 +119,7 @@ class Passage:
     def __init__(self, words_: list[str]):
         self.words = words_
         self.vocabulary = set(words_)
+        self.counts = Counter(words_)
         self.close: dict[str, str] = {}
         for w in self.vocabulary:
             if len(w) >= 4 and not w.isdigit():
@@ -160,11 +162,12 @@ class Passage:
         return None
 
 
-def aligned_share(passage: Passage, text: list[str], gap: int = 4, least: int = 3, whole_below: int = 6) -> float:
+def aligned_share(passage: Passage, text: list[str], gap: int = 4, least: int = 3, whole_below: int = 6, enough: float = 0.0) -> float:
     """Share of the passage's words found in order in the text, single stray words aside.
 
     The text is first cut to stretches in which the passage's words stand close together.
     A passage of fewer than ``whole_below`` words counts only whole and word by word.
+    Shares that cannot reach ``enough`` come out as 0.
     """
     if len(passage.words) < whole_below:
         n = len(passage.words)
@@ -181,7 +184,8 @@ def aligned_share(passage: Passage, text: list[str], gap: int = 4, least: int =
     for s in stretches:
         if len(s) >= least and len({read[k] for k in s}) >= least:
             kept += [*read[s[0]:s[-1] + 1], None, None, None]
-    if not kept or not passage.words:
+    # no alignment finds more words than the text holds of the passage's, order aside
+    if not passage.words or sum((Counter(w for w in kept if w is not None) & passage.counts).values()) < enough * len(passage.words):
         return 0.0
     blocks = difflib.SequenceMatcher(None, passage.words, kept, autojunk=False).get_matching_blocks()[:-1]
     found = 0
@@ -215,7 +219,7 @@ def leaked(documents: DataFrame, items: DataFrame, params: LeakParams = LeakPara
                     if len(known) > 10_000:
                         known.clear()
                     known[item] = Passage(passage)
-                share.append(aligned_share(known[item], text, params.gap, whole_below=params.whole_below))
+                share.append(aligned_share(known[item], text, params.gap, whole_below=params.whole_below, enough=params.share))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, type=pa.float64())], names=[key, "item_id", "share"])
 
     kinds = dict(ready.dtypes)

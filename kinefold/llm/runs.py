@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinefold.functions.labels import canonical_label, canonical_number
-from kinefold.operators.blocks import FPS, SPAN
+from kinefold.operators.blocks import FPS
 
 # Labels that most rows carry in their plain spelling.
+#: Frames in a block of runs: nothing is repeated at borders, so blocks can be short and even.
+RUN_SPAN = 2500
 ROLES = ("player", "goalkeeper", "referee")
 TEAMS = ("left", "right")
 
@@ -52,7 +54,7 @@ def collapse_runs(events: DataFrame, entity: list[str], order: str, values: list
     return whole.select(*entity, *said, "first", "last", "events")
 
 
-def readings_with_labels(frames: DataFrame, span: int = SPAN) -> DataFrame:
+def readings_with_labels(frames: DataFrame, span: int = RUN_SPAN) -> DataFrame:
     """``match_id, block, id, frame, role, team, jersey`` with canonical labels, laid out by (match_id, block)."""
     lines = (frames.where(F.col("match_id").isNotNull() & F.col("frame").isNotNull())
              .select("match_id", "frame", F.coalesce("line_no", F.lit(-1)).alias("line_no"), F.floor(F.col("frame") / span).alias("block"),
@@ -68,7 +70,7 @@ def readings_with_labels(frames: DataFrame, span: int = SPAN) -> DataFrame:
         canonical_number(F.col("p.jerseys")).alias("jersey"))
 
 
-def label_runs(frames: DataFrame, span: int = SPAN) -> DataFrame:
+def label_runs(frames: DataFrame, span: int = RUN_SPAN) -> DataFrame:
     """``match_id, id, role, team, jersey, start_frame, end_frame, readings, duration_s`` of every run."""
     runs = collapse_runs(readings_with_labels(frames, span), ["match_id", "id"], "frame", ["role", "team", "jersey"], "block")
     return runs.select("match_id", "id", "role", "team", "jersey", F.col("first").alias("start_frame"), F.col("last").alias("end_frame"),

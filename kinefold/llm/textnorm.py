@@ -39,9 +39,14 @@ def plain_text(c: Column) -> Column:
     return c
 
 
+#: What plain_text has to work on, besides capitals.
+ODD = r"[^\x00-\x7F]|[<&]|-[ \t]*\r?\n"
+
+
 def words(c: Column) -> Column:
-    """Words and numbers of a plain text, in order."""
-    return F.regexp_extract_all(plain_text(c), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
+    """Words and numbers of a plain text, in order; texts of plain letters take the short way."""
+    short = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+|[0-9]+)"), F.lit(1))
+    return F.when(c.rlike(ODD), F.regexp_extract_all(plain_text(c), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))).otherwise(short)
 
 
 _FOLD = str.maketrans(*fold_table())
