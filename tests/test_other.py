@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from kinefold.operators import evaluation as ev
 from kinefold.sources import recordings as src
-from kinefold.streaming import windows
+from kinefold.streaming import guard, windows
 from kinefold.streaming.decisions import ANSWER, Engine, decide_batch, decide_stream
-from kinefold.streaming.guard import Guard, crossing
 
 BOX = "f bigint, id bigint, box array<double>, score double"
 
@@ -106,12 +105,45 @@ def test_rate_limit_counts_accepted_only(spark):
     assert [r.accepted for r in windows.rate_limited(df, ["k"], "t", 2, 10.0).orderBy("t").collect()] == [True, True, False, False, True, True, False]
 
 
-def test_guard_rejects_a_jump_and_confirms_a_cut():
-    h = lambda dx: np.array([[0.06, 0, -60 + dx], [0, -0.09, 60], [0, 0, 1.0]])
-    g = Guard(1920, 1080)
-    assert [g.step(h(d)) for d in (0, 1, 40, 2, 40, 40, 40)] == ["accept", "accept", "reject_jump", "accept", "reject_jump", "reject_jump", "confirm"]
-    assert g.step(np.full((3, 3), np.nan)) == "reject_invalid" and g.step(None) == "reject_invalid"
-    assert crossing(np.array([[0, 0], [1, 1], [1, 0], [0, 1.0]])) and not crossing(np.array([[0, 0], [1, 0], [1, 1], [0, 1.0]]))
+def side_view(dx=0.0, turn=0.0, scale=1.0):
+    """A camera at the side line: metres from pixels, moved along the pitch, turned about the view centre."""
+    h = scale * np.array([[0.05, 0.0, -48.0 + dx], [0.0, 0.06, -45.0], [0.0, 0.0, 1.0]])
+    if turn:
+        c = np.array([dx, 0.36])
+        r = np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]])
+        m = np.eye(3)
+        m[:2, :2], m[:2, 2] = r, c - r @ c
+        h = m @ h
+    return h
+
+
+def decisions_on(*matrices):
+    v = guard.views(np.array(matrices))
+    g = guard.Guard()
+    return [g.step(*(v[k][i] for k in ("valid", "plausible", "centre", "grid"))) for i in range(len(matrices))]
+
+
+def test_guard_decisions():
+    bad = np.full((3, 3), np.nan)
+    assert decisions_on(bad, side_view(), side_view(3), side_view(30), side_view(4)) == ["rejected_invalid", "accepted_first", "accepted", "rejected_jump", "accepted"]
+    assert decisions_on(side_view(), side_view(30), side_view(31)) == ["accepted_first", "rejected_jump", "accepted_confirmed"]
+    assert decisions_on(side_view(), side_view(30), bad, side_view(31)) == ["accepted_first", "rejected_jump", "rejected_invalid", "accepted_confirmed"]
+    assert decisions_on(side_view(), side_view(30), side_view(33), side_view(36), side_view(39)) == ["accepted_first", "rejected_jump", "rejected_jump", "rejected_jump", "accepted_confirmed"]
+    assert decisions_on(side_view(), side_view(turn=0.8)) == ["accepted_first", "rejected_jump"]
+    assert decisions_on(side_view(100), side_view(125)) == ["accepted_first", "rejected_invalid"] and decisions_on(side_view(125)) == ["rejected_invalid"]
+
+
+def test_views_do_not_depend_on_the_scale_of_a_matrix():
+    a, b = guard.views(np.array([side_view()])), guard.views(np.array([side_view(scale=-7.0)]))
+    assert a["valid"][0] and b["valid"][0] and a["plausible"][0] == b["plausible"][0] and np.allclose(a["grid"], b["grid"])
+    flat = np.array([[0, 0], [1, 1], [1, 0], [0, 1.0]])
+    assert guard.crossing(flat) and not guard.crossing(flat[[0, 2, 1, 3]]) and guard.area(flat[[0, 2, 1, 3]]) == 1.0
+
+
+def test_guard_over_a_table(spark):
+    rows = [("s", f, None if f == 2 else side_view(40 if f == 3 else f).ravel().tolist()) for f in range(6)] + [("t", 0, [1.0])]
+    out = {(r.seq, r.frame): (r.decision, r.held_frame) for r in guard.guarded(spark.createDataFrame(rows, "seq string, frame bigint, h array<double>")).collect()}
+    assert out["s", 0] == ("accepted_first", 0) and out["s", 2] == ("rejected_invalid", 1) and out["s", 3] == ("rejected_jump", 1) and out["s", 5] == ("accepted", 5) and out["t", 0] == ("rejected_invalid", None)
 
 
 def test_reading_recordings_and_their_errors(spark, tmp_path):
