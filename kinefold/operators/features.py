@@ -141,9 +141,11 @@ def work_rate(p: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("match_id", "team", "id", d.alias("distance"), (d / (F.col("duration_s") / 60)).alias("metres_per_minute"))
 
 
-def territory(p: DataFrame, lines: DataFrame, first: DataFrame, nx: int = 21, ny: int = 14) -> DataFrame:
+def territory(p: DataFrame, lines: DataFrame, first: DataFrame, nx: int = 21, ny: int = 14, cells: bool = False) -> DataFrame:
     """``match_id, second, left, right, cells``: cells owned by a team in more than half of a second's lines.
 
+    With ``cells`` also ``owners``: 1 (left), -1 (right) or 0 for every cell, row by row.
+
     A second holds at most 25 lines of some two dozen people, so its positions fit a row; the
     grid is laid over them in Arrow batches with array arithmetic instead of a join with the cells.
     """
@@ -169,11 +171,15 @@ def territory(p: DataFrame, lines: DataFrame, first: DataFrame, nx: int = 21, ny
                 _, frame = np.unique(f[head], return_inverse=True)
                 best = np.full((2, frame.max() + 1, nx * ny), np.inf)
                 best[t[head], frame] = near
-                out.append((int((2 * (best[1] < best[0]).sum(axis=0) > b).sum()), int((2 * (best[0] < best[1]).sum(axis=0) > b).sum()), nx * ny))
-            columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([*v], type=pa.int64()) for v in columns]], names=["match_id", "second", "left", "right", "cells"])
+                left, right = 2 * (best[1] < best[0]).sum(axis=0) > b, 2 * (best[0] < best[1]).sum(axis=0) > b
+                out.append((int(left.sum()), int(right.sum()), nx * ny, (left.astype(np.int8) - right).tolist() if cells else None))
+            *columns, owners = list(zip(*out)) if out else [[]] * 4
+            arrays = [batch.column(0), batch.column(1), *[pa.array([*v], type=pa.int64()) for v in columns]]
+            if cells:
+                arrays.append(pa.array([*owners], type=pa.list_(pa.int8())))
+            yield pa.RecordBatch.from_arrays(arrays, names=["match_id", "second", "left", "right", "cells", *(["owners"] if cells else [])])
 
-    return rows.mapInArrow(own, "match_id string, second bigint, left bigint, right bigint, cells bigint")
+    return rows.mapInArrow(own, "match_id string, second bigint, left bigint, right bigint, cells bigint" + (", owners array<tinyint>" if cells else ""))
 
 
 def shape_by_second(p: DataFrame, first: DataFrame, least: int = 4, exact: bool = False) -> DataFrame:
@@ -254,7 +260,8 @@ def quality(p: DataFrame, lines: DataFrame, ball: DataFrame) -> DataFrame:
     per = tracked.groupBy("match_id", "frame").agg(F.count("*").alias("n"), F.count_if(F.col("team").isin(*TEAMS)).alias("t"), F.count_if(F.length(F.trim("jersey")) > 0).alias("j"))
     people_part = per.groupBy("match_id").agg(F.sum("n").alias("tracked"), F.sum("t").alias("teamed"), F.sum("j").alias("read"), F.count_if(F.col("n") >= 8).alias("good"))
     ball_part = ball.groupBy("match_id").agg(F.count("*").alias("frames"), F.count_if("found").alias("found"))
-    gaps = empty_ranges(p, lines).groupBy("match_id").agg(F.count("*").alias("ranges"), F.count_if(F.col("frames") >= 25).alias("long_ranges"))
+    gaps = empty_ranges(p, lines).groupBy("match_id").agg(F.count("*").alias("ranges"), F.count_if(F.col("frames") >= 25).alias("long_ranges"),
+                                                          F.array_sort(F.collect_list(F.struct("start", "end", "frames"))).alias("no_people_ranges"))
     frag = fragments(p).groupBy("match_id").agg(F.count("*").alias("fragments"))
     joined = ball_part.join(people_part, "match_id", "left").join(gaps, "match_id", "left").join(frag, "match_id", "left").na.fill(0)
     pct = lambda a, b: F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.col(a), F.col(b)), F.lit(0.0)), 1)
@@ -263,22 +270,13 @@ def quality(p: DataFrame, lines: DataFrame, ball: DataFrame) -> DataFrame:
     score = reduce(lambda a, b: a + b, [c.cast("int") for c in checks])
     grade = F.when(score == 6, "A").when(score == 5, "B").when(score == 4, "C").otherwise("D")
     some = F.col("tracked") > 0
-    said = F.array_compact(F.array(
-        F.when(~checks[0], F.format_string("Only %.1f%% of frames have 8 or more tracked people.", "good_pct")),
+    none = F.transform(F.filter(F.coalesce("no_people_ranges", F.array()), lambda r: r["frames"] >= 25),
+                       lambda r: F.format_string("No tracked people in frames %d..%d (%d frames) - the camera may be uncalibrated.", r["start"], r["end"], r["frames"]))
+    good = F.array_compact(F.array(F.when(~checks[0], F.format_string("Only %.1f%% of frames have 8 or more tracked people.", "good_pct"))))
+    rest = F.array_compact(F.array(
         F.when(~checks[2], F.format_string("%d tracks start within 1.5 s and 3 m of a track that just ended (possible id switches).", "fragments")),
         F.when(some & ~checks[3], F.format_string("Only %.1f%% of tracked people are assigned to a team.", "team_pct")),
         F.when(some & ~checks[4], F.format_string("Jersey numbers were read on only %.1f%% of tracked people.", "jersey_pct")),
         F.when(~checks[5], F.format_string("The ball was found in only %.1f%% of frames.", "ball_pct"))))
-    return out.select("*", score.alias("score"), grade.alias("grade"), said.alias("warnings"))
-
-
-def comparison(p: DataFrame, lines: DataFrame, ball: DataFrame, a: str, b: str) -> DataFrame:
-    """``metric, a, b, diff`` of two recordings; a metric that one lacks has a null difference."""
-    both = F.col("match_id").isin(a, b)
-    summary = player_summary(p.where(both)).groupBy("match_id").agg(F.count("*").cast("double").alias("tracked_people"), F.avg(F.round("distance_m", 2)).alias("avg_distance_m"))
-    lines_part = ball.where(both).groupBy("match_id").agg((F.count("*") / F.lit(float(FPS))).alias("duration_s"), (F.lit(100.0) * F.count("x") / F.count("*")).alias("ball_found_pct"))
-    wide = lines_part.join(summary, "match_id", "left")
-    names = ["duration_s", "tracked_people", "avg_distance_m", "ball_found_pct"]
-    long = wide.unpivot("match_id", names, "metric", "value")
-    pick = lambda m: F.max(F.when(F.col("match_id") == m, F.col("value")))
-    return long.groupBy("metric").agg(pick(a).alias("a"), pick(b).alias("b")).withColumn("diff", F.col("a") - F.col("b"))
+    per_frame = F.round(F.col("tracked") / F.col("frames"), 1)
+    return out.select("*", per_frame.alias("tracked_per_frame"), score.alias("score"), grade.alias("grade"), F.concat(good, none, rest).alias("warnings"))

@@ -458,17 +458,7 @@ def quality_grades(spark, sf):
     return feat.quality(_people(spark, sf), _lines(spark, sf), _balls(spark, sf)).select("match_id", "good_pct", "team_pct", "jersey_pct", "ball_pct", "score", "grade", "warnings")
 
 
-@REGISTRY.add("comparison", f"""with {BASE}, {STEPS}, pick as (select match_id, row_number() over (order by match_id) as k from firsts),
-b as (select match_id, count(*) / 25.0::double as duration_s, 100.0::double * count(x) / count(*) as ball_found_pct from balls group by match_id), w as (select match_id, count(distinct id)::double as tracked_people from people group by match_id),
-v as (select k, 'duration_s' as metric, duration_s as value from b join pick using (match_id) union all select k, 'ball_found_pct', ball_found_pct from b join pick using (match_id) union all select k, 'tracked_people', tracked_people from w join pick using (match_id))
-select metric, max(value) filter (k = 1) as a, max(value) filter (k = 2) as b, max(value) filter (k = 1) - max(value) filter (k = 2) as diff from v where k <= 2 group by metric""")
-def comparison(spark, sf):
-    lines = _lines(spark, sf)
-    a, b = [r.match_id for r in lines.select("match_id").distinct().orderBy("match_id").limit(2).collect()]
-    return feat.comparison(_people(spark, sf), lines, _balls(spark, sf), a, b).where("metric <> 'avg_distance_m'")
-
-
-# The whole of three queries above, whose SQL compares a part: no SQL, a test on a small fixture.
+# The whole of two queries above, whose SQL compares a part: no SQL, a test on a small fixture.
 
 
 @REGISTRY.add("smoothed_whole")
@@ -479,10 +469,3 @@ def smoothed_whole(spark, sf):
 @REGISTRY.add("moving_average_whole")
 def moving_average_whole(spark, sf):
     return rec.moving_average(_points(spark, sf)).select("match_id", "id", "frame", "x", "y")
-
-
-@REGISTRY.add("comparison_whole")
-def comparison_whole(spark, sf):
-    lines = _lines(spark, sf)
-    a, b = [r.match_id for r in lines.select("match_id").distinct().orderBy("match_id").limit(2).collect()]
-    return feat.comparison(_people(spark, sf), lines, _balls(spark, sf), a, b)
