@@ -254,13 +254,13 @@ def fragments(p: DataFrame, frames: int = 37, metres: float = 3.0) -> DataFrame:
     return near_in_range(a, b, ["match_id"], "start", "end", frames, close).select("match_id", "id")
 
 
-def quality(p: DataFrame, lines: DataFrame, ball: DataFrame) -> DataFrame:
+def quality(p: DataFrame, lines: DataFrame, ball: DataFrame, long_range: int = 25) -> DataFrame:
     """``match_id`` with counts, percentages, grade and warnings of a recording."""
     tracked = positioned(p)
     per = tracked.groupBy("match_id", "frame").agg(F.count("*").alias("n"), F.count_if(F.col("team").isin(*TEAMS)).alias("t"), F.count_if(F.length(F.trim("jersey")) > 0).alias("j"))
     people_part = per.groupBy("match_id").agg(F.sum("n").alias("tracked"), F.sum("t").alias("teamed"), F.sum("j").alias("read"), F.count_if(F.col("n") >= 8).alias("good"))
     ball_part = ball.groupBy("match_id").agg(F.count("*").alias("frames"), F.count_if("found").alias("found"))
-    gaps = empty_ranges(p, lines).groupBy("match_id").agg(F.count("*").alias("ranges"), F.count_if(F.col("frames") >= 25).alias("long_ranges"),
+    gaps = empty_ranges(p, lines).groupBy("match_id").agg(F.count("*").alias("ranges"), F.count_if(F.col("frames") >= long_range).alias("long_ranges"),
                                                           F.array_sort(F.collect_list(F.struct("start", "end", "frames"))).alias("no_people_ranges"))
     frag = fragments(p).groupBy("match_id").agg(F.count("*").alias("fragments"))
     joined = ball_part.join(people_part, "match_id", "left").join(gaps, "match_id", "left").join(frag, "match_id", "left").na.fill(0)
@@ -270,7 +270,7 @@ def quality(p: DataFrame, lines: DataFrame, ball: DataFrame) -> DataFrame:
     score = reduce(lambda a, b: a + b, [c.cast("int") for c in checks])
     grade = F.when(score == 6, "A").when(score == 5, "B").when(score == 4, "C").otherwise("D")
     some = F.col("tracked") > 0
-    none = F.transform(F.filter(F.coalesce("no_people_ranges", F.array()), lambda r: r["frames"] >= 25),
+    none = F.transform(F.filter(F.coalesce("no_people_ranges", F.array()), lambda r: r["frames"] >= long_range),
                        lambda r: F.format_string("No tracked people in frames %d..%d (%d frames) - the camera may be uncalibrated.", r["start"], r["end"], r["frames"]))
     good = F.array_compact(F.array(F.when(~checks[0], F.format_string("Only %.1f%% of frames have 8 or more tracked people.", "good_pct"))))
     rest = F.array_compact(F.array(

@@ -58,14 +58,14 @@ def steps(points: DataFrame, key: tuple[str, ...] = TRACK, order: str = "frame",
     return rows.withColumn("counted", (F.col("gap") <= MAX_STEP_GAP) & (F.col("v") <= cap))
 
 
-def sprint_runs(step: DataFrame, key: tuple[str, ...] = TRACK, fps: int = FPS) -> DataFrame:
+def sprint_runs(step: DataFrame, key: tuple[str, ...] = TRACK, fps: int = FPS, speed: float = SPRINT_SPEED, seconds: float = SPRINT_SECONDS) -> DataFrame:
     """``key, start_frame, end_frame, gap, distance_m, max_speed``: fast runs of at least the sprint time."""
     w = Window.partitionBy(*key).orderBy("f1")
-    fast = F.col("counted") & (F.col("v") >= SPRINT_SPEED)
+    fast = F.col("counted") & (F.col("v") >= speed)
     run = F.sum(F.when(fast, 0).otherwise(1)).over(w)
     return (step.withColumn("_run", run).where(fast).groupBy(*key, "_run")
             .agg(F.min("f0").alias("start_frame"), F.max("f1").alias("end_frame"), F.sum("gap").alias("gap"), F.sum("d").alias("distance_m"), F.max("v").alias("max_speed"))
-            .where(F.col("gap") / fps >= SPRINT_SECONDS - 1e-9).drop("_run"))
+            .where(F.col("gap") / fps >= seconds - 1e-9).drop("_run"))
 
 
 def player_summary(p: DataFrame, key: tuple[str, ...] = TRACK, fps: int = FPS) -> DataFrame:
@@ -206,15 +206,28 @@ def roster(p: DataFrame) -> DataFrame:
             .agg(F.max("frame").alias("last_frame")).withColumn("number", F.col("jersey").try_cast("int")))
 
 
-def role_votes(p: DataFrame, window: int = 25, delay: int = 0) -> DataFrame:
+def role_votes(p: DataFrame, window: int = 25, delay: int = 0, known: tuple[str, ...] = ("player", "goalkeeper", "referee", "other")) -> DataFrame:
     """``match_id, id, frame, role``: most common role in (frame - window, frame + delay]; ties to the role seen first on the track.
 
-    One RANGE window per role value, so nothing is joined or collected.
+    One RANGE window per value of ``known``, so nothing is joined or collected; other values have no vote.
     """
-    known = ("player", "goalkeeper", "referee", "other")
     w = Window.partitionBy("match_id", "id").orderBy("frame")
     near = w.rangeBetween(-(window - 1), delay)
     said = p.where(F.col("role").isin(*known))
     best = F.greatest(*[F.struct(F.count(F.when(F.col("role") == r, 1)).over(near).alias("n"),
                                  (-F.coalesce(F.min(F.when(F.col("role") == r, F.col("frame"))).over(Window.partitionBy("match_id", "id")), F.lit(2**40))).alias("first"), F.lit(r).alias("r")) for r in known])
     return said.select("match_id", "id", "frame", best["r"].alias("role"))
+
+
+def between_frames(p: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """``match_id, id, frame, x, y``: people a share ``t`` of the way from each line to the next, of those in both.
+
+    Where one of the two has no position, the first line's stands.
+    """
+    t = min(1.0, max(0.0, t))
+    following = lines.select("match_id", "frame", F.lead("frame").over(Window.partitionBy("match_id").orderBy("frame")).alias("_next"))
+    w = Window.partitionBy("match_id", "id").orderBy("frame")
+    pairs = p.select("match_id", "id", "frame", "x", "y", *[F.lead(c).over(w).alias(f"_{c}") for c in ("frame", "x", "y")])
+    both = pairs.join(following, ["match_id", "frame"]).where("_frame = _next")
+    at = lambda c: F.when(F.col("x").isNull() | F.col("_x").isNull(), F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * t).alias(c)
+    return both.select("match_id", "id", "frame", at("x"), at("y"))

@@ -6,7 +6,7 @@ import importlib
 
 from kinefold.plans.registry import Registry
 
-MODULES = ("data_quality_queries", "recording_queries", "report_queries", "evaluation_queries", "relational_queries", "streaming_queries")
+MODULES = ("data_quality_queries", "recording_queries", "report_queries", "log_queries", "evaluation_queries", "relational_queries", "streaming_queries")
 
 
 def all_queries() -> Registry:

@@ -74,8 +74,10 @@ def roles_from_truth(spark, sf):
 
 @REGISTRY.add("bootstrap_interval")
 def bootstrap_interval(spark, sf):
-    per = table(spark, sf, "analytics").where("max_speed_ms between 0 and 12 and distance_m > 0").groupBy("match_id").agg(F.avg("max_speed_ms").alias("speed"), F.avg("sprints").alias("sprints"))
-    return ev.bootstrap(per, "match_id", ["speed", "sprints"], 500)
+    """Medians of matches (impossible values stay in) and the paired difference of two halves of a match."""
+    half = lambda k: F.avg(F.when(F.col("id") % 2 == k, F.col("sprints")))
+    per = table(spark, sf, "analytics").groupBy("match_id").agg(F.percentile("max_speed_ms", F.lit(0.5)).alias("speed"), F.avg("sprints").alias("sprints"), (half(0) - half(1)).alias("even_less_odd"))
+    return ev.bootstrap(per, "match_id", ["speed", "sprints", "even_less_odd"])
 
 
 _Z = 1.959963984540054
@@ -154,9 +156,11 @@ def kmeans_step(spark, sf):
     return ev.kmeans_step(features, seeds)
 
 
-@REGISTRY.add("number_evidence")
+@REGISTRY.add("number_evidence", f"""with {BASE}, r as (select match_id, id, frame, try_cast(jersey as int) as n from people),
+c as (select *, row_number() over (partition by match_id, id, n order by frame) as hits, row_number() over (partition by match_id, id order by frame) as total from r where n between 0 and 99)
+select match_id, id, arg_min(n, frame)::int as number, min(frame) as since from c where hits >= 4 and hits >= 0.6::double * total group by match_id, id""")
 def number_evidence(spark, sf):
-    """Shirt numbers of tracks from readings: evidence 0.9 for the number read."""
-    p = rec.people(rec.newest_lines(table(spark, sf, "frames"))).withColumn("n", F.col("jersey").try_cast("int")).where("n between 1 and 40")
-    array = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.when(k == F.col("n"), 0.9).otherwise(0.0))
-    return ev.number_evidence(p.select("match_id", "id", "frame", array.alias("p"), F.lit(0.1).alias("pnone")), ["match_id", "id"], "frame")
+    """Shirt numbers of tracks from readings: full evidence for the number read, of a hundred."""
+    p = rec.people(rec.newest_lines(table(spark, sf, "frames"))).withColumn("n", F.col("jersey").try_cast("int")).where("n between 0 and 99")
+    array = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.when(k == F.col("n"), 1.0).otherwise(0.0))
+    return ev.number_evidence(p.select("match_id", "id", "frame", array.alias("p"), F.lit(0.0).alias("pnone")), ["match_id", "id"], "frame")

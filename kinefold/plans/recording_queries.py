@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinefold.functions.geometry import box_overlap, determinant, foot_point, on_pitch, project
+from kinefold.functions.labels import canonical_label
 from kinefold.operators import features as feat
 from kinefold.operators import recording as rec
 from kinefold.plans.registry import Registry
@@ -28,6 +29,11 @@ def qs(c: str, scale: int) -> str:
     return f"cast(floor(({c}) * {scale} + 0.487) as bigint)"
 
 
+def far(c: str) -> str:
+    """Whole centimetres, beyond a kilometre whole metres (sums of large doubles keep fewer digits); reads the same in both dialects."""
+    return f"case when abs({c}) < 1000 then cast(floor(({c}) * 100 + 0.487) as bigint) else cast(floor(({c}) + 0.487) as bigint) * 100 end"
+
+
 def _lines(spark, sf):
     return rec.newest_lines(table(spark, sf, "frames"))
 
@@ -119,21 +125,18 @@ disp as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from cut win
 med as (select *, case when dx is null then 0 else quantile_cont(dx, 0.5) over w end as mx, case when dy is null then 0 else quantile_cont(dy, 0.5) over w end as my
         from disp window w as (partition by match_id, id, segment order by frame rows between 6 preceding and 6 following)),
 acc as (select *, first_value(x) over w + sum(mx) over w as sx, first_value(y) over w + sum(my) over w as sy from med window w as (partition by match_id, id, segment order by frame rows between unbounded preceding and current row))
-select match_id, id, frame, {qs('case when nf is null or n < 3 then x else sx end', 100)} as x_cm, {qs('case when nf is null or n < 3 then y else sy end', 100)} as y_cm from acc
-where abs(x) < 1000 and abs(y) < 1000 and frame % 1 = 0""")
+select match_id, id, frame, {far('case when nf is null or n < 3 then x else sx end')} as x_cm, {far('case when nf is null or n < 3 then y else sy end')} as y_cm from acc""")
 def smoothed(spark, sf):
-    p = _points(spark, sf)
-    near = p.where((F.abs("x") < 1000) & (F.abs("y") < 1000)).select("match_id", "id", "frame")
-    return rec.smoothed(p).join(near, ["match_id", "id", "frame"]).select("match_id", "id", "frame", q("x", 100).alias("x_cm"), q("y", 100).alias("y_cm"))
+    return rec.smoothed(_points(spark, sf)).select("match_id", "id", "frame", F.expr(far("x")).alias("x_cm"), F.expr(far("y")).alias("y_cm"))
 
 
 @REGISTRY.add("moving_average", f"""with {BASE}, cut as (select *, sum(case when gap > 8 then 1 else 0 end) over (partition by match_id, id order by frame) as segment from (
-  select *, frame - lag(frame) over (partition by match_id, id order by frame) as gap from points where abs(x) < 1000 and abs(y) < 1000)),
+  select *, frame - lag(frame) over (partition by match_id, id order by frame) as gap from points)),
 ends as (select *, lag(frame) over w is null or lead(frame) over w is null as edge, cast(round(x * 100) as bigint) as cx, cast(round(y * 100) as bigint) as cy from cut window w as (partition by match_id, id, segment order by frame))
 select match_id, id, frame, case when edge then cx * 1.0::double else sum(cx) over w / count(*) over w end as x_cm, case when edge then cy * 1.0::double else sum(cy) over w / count(*) over w end as y_cm
 from ends window w as (partition by match_id, id, segment order by frame range between 5 preceding and 5 following)""")
 def moving_average(spark, sf):
-    p = _points(spark, sf).where((F.abs("x") < 1000) & (F.abs("y") < 1000)).withColumns({c: F.round(F.col(c) * 100).cast("bigint") for c in ("x", "y")})
+    p = _points(spark, sf).withColumns({c: F.round(F.col(c) * 100).cast("bigint") for c in ("x", "y")})
     m = rec.moving_average(p)
     return m.select("match_id", "id", "frame", F.col("x").cast("double").alias("x_cm"), F.col("y").cast("double").alias("y_cm"))
 
@@ -234,13 +237,14 @@ def roster(spark, sf):
     return rec.roster(_people(spark, sf))
 
 
-@REGISTRY.add("role_votes", f"""with {BASE}, said as (select match_id, id, frame, role from people where role in ('player', 'goalkeeper', 'referee')),
+@REGISTRY.add("role_votes", f"""with {BASE}, said as (select match_id, id, frame, role from (select match_id, id, frame, regexp_replace(lower(role), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as role from people) where role in ('player', 'goalkeeper', 'referee', 'other')),
 firsts2 as (select match_id, id, role, min(frame) as f from said group by all),
 votes as (select a.match_id, a.id, a.frame, f.role, count(b.frame) as n, f.f from said a join firsts2 f on f.match_id = a.match_id and f.id = a.id
           left join said b on b.match_id = a.match_id and b.id = a.id and b.role = f.role and b.frame between a.frame - 24 and a.frame + 25 group by all)
 select match_id, id, frame, role from (select *, row_number() over (partition by match_id, id, frame order by n desc, f) as k from votes) where k = 1""")
 def role_votes(spark, sf):
-    return rec.role_votes(_people(spark, sf), 25, 25)
+    """Labels that are only written differently count together."""
+    return rec.role_votes(_people(spark, sf).withColumn("role", canonical_label(F.col("role"))), 25, 25)
 
 
 @REGISTRY.add("hidden_ids", f"with {BASE} select match_id, id, count(*) as seen from people group by match_id, id having count(*) < 12")
@@ -458,14 +462,27 @@ def quality_grades(spark, sf):
     return feat.quality(_people(spark, sf), _lines(spark, sf), _balls(spark, sf)).select("match_id", "good_pct", "team_pct", "jersey_pct", "ball_pct", "score", "grade", "warnings")
 
 
-# The whole of two queries above, whose SQL compares a part: no SQL, a test on a small fixture.
+@REGISTRY.add("sprint_runs_slow", f"with {BASE}, {STEPS.replace('v >= 7', 'v >= 2').replace('>= 1.0 - 1e-9', '>= 0.4 - 1e-9')} select match_id, id, start_frame, end_frame, gap, {qs('mm / 1000.0::double', 10)} as distance_dm, v as max_speed from sprints")
+def sprint_runs_slow(spark, sf):
+    """Runs from 2 m/s and 0.4 s, of which these recordings hold some."""
+    runs = rec.sprint_runs(rec.steps(_points(spark, sf)).withColumn("d", q("d", 1000)), speed=2.0, seconds=0.4)
+    return runs.select("match_id", "id", "start_frame", "end_frame", "gap", q(F.col("distance_m") / F.lit(1000.0), 10).alias("distance_dm"), "max_speed")
+
+
+@REGISTRY.add("long_balls_near", f"with {BASE}, {_LONG.replace('d > 25', 'd > 4')} select * from longs")
+def long_balls_near(spark, sf):
+    return feat.long_balls(_balls(spark, sf), 4.0)
 
 
-@REGISTRY.add("smoothed_whole")
-def smoothed_whole(spark, sf):
-    return rec.smoothed(_points(spark, sf))
+@REGISTRY.add("fragment_tracks_wide", f"with {BASE}, {_FRAG.replace('+ 37', '+ 2000').replace('<= 3)', '<= 40)')} select match_id, id from frag")
+def fragment_tracks_wide(spark, sf):
+    return feat.fragments(_people(spark, sf), 2000, 40.0).distinct()
 
 
-@REGISTRY.add("moving_average_whole")
-def moving_average_whole(spark, sf):
-    return rec.moving_average(_points(spark, sf)).select("match_id", "id", "frame", "x", "y")
+@REGISTRY.add("quality_percentages", f"""with {BASE},
+per as (select match_id, frame, count(*) as n, count(*) filter (team in ('left', 'right')) as t, count(*) filter (length(trim(jersey)) > 0) as j from points group by match_id, frame),
+pp as (select match_id, sum(n) as tracked, sum(t) as teamed, sum(j) as read, count(*) filter (n >= 8) as good from per group by match_id), bb as (select match_id, count(*) as frames, count(*) filter (found) as found from balls group by match_id)
+select match_id, round(100.0::double * coalesce(good, 0) / frames, 1) as good_pct, coalesce(round(100.0::double * teamed / tracked, 1), 0) as team_pct, coalesce(round(100.0::double * read / tracked, 1), 0) as jersey_pct, round(100.0::double * found / frames, 1) as ball_pct,
+  round(coalesce(tracked, 0) / frames::double, 1) as tracked_per_frame from bb left join pp using (match_id)""")
+def quality_percentages(spark, sf):
+    return feat.quality(_people(spark, sf), _lines(spark, sf), _balls(spark, sf)).select("match_id", "good_pct", "team_pct", "jersey_pct", "ball_pct", "tracked_per_frame")

@@ -41,6 +41,12 @@ def customers_without_orders(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+@REGISTRY.add("customers_without_large_orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
+def customers_without_large_orders(spark, sf):
+    large = table(spark, sf, "orders").where("o_totalprice > 300000")
+    return table(spark, sf, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
 @REGISTRY.add("customers_with_orders", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)")
 def customers_with_orders(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")

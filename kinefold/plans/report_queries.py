@@ -126,7 +126,8 @@ def shape_average(spark, sf):
 
 @REGISTRY.add("no_people_warnings", f"""with {BASE}, e as (select match_id, frame from lines anti join (select distinct match_id, frame from points) using (match_id, frame)),
 ranges as (select match_id, min(frame) as s, max(frame) as e, count(*) as n from (select *, frame - row_number() over (partition by match_id order by frame) as i from e) group by match_id, i)
-select match_id, 'No tracked people in frames ' || s || '..' || e || ' (' || n || ' frames) - the camera may be uncalibrated.' as warning from ranges where n >= 25""")
+select match_id, 'No tracked people in frames ' || s || '..' || e || ' (' || n || ' frames) - the camera may be uncalibrated.' as warning from ranges where n >= 1""")
 def no_people_warnings(spark, sf):
-    w = feat.quality(_people(spark, sf), _lines(spark, sf), _balls(spark, sf)).select("match_id", F.explode("warnings").alias("warning"))
+    """Every range warns here, also one of a single frame, as recordings with 25 in a row are rare."""
+    w = feat.quality(_people(spark, sf), _lines(spark, sf), _balls(spark, sf), 1).select("match_id", F.explode("warnings").alias("warning"))
     return w.where(F.col("warning").startswith("No tracked people"))

@@ -2,14 +2,14 @@
 
 #: Clean lines, people (first entry of an id, null position unless two finite numbers), balls, first frames.
 BASE = """
-lines as (select * from (select *, row_number() over (partition by match_id, frame order by line_no desc) as rk from frames) where rk = 1),
+lines as materialized (select * from (select *, row_number() over (partition by match_id, frame order by line_no desc) as rk from frames) where rk = 1),
 entries as (select match_id, frame, unnest(people) as p, generate_subscripts(people, 1) - 1 as pos from lines),
-people as (select match_id, frame, pos, p.id as id, p.role as role, p.team as team, p.jersey as jersey,
+people as materialized (select match_id, frame, pos, p.id as id, p.role as role, p.team as team, p.jersey as jersey,
                   case when len(p.xy) = 2 and isfinite(p.xy[1]) and isfinite(p.xy[2]) then p.xy[1] end as x,
                   case when len(p.xy) = 2 and isfinite(p.xy[1]) and isfinite(p.xy[2]) then p.xy[2] end as y
            from (select *, row_number() over (partition by match_id, frame, p.id order by pos) as nth from entries where p.id is not null) where nth = 1),
-points as (select * from people where x is not null),
-balls as (select match_id, frame, ball is not null as found, case when len(ball.xy) = 2 and isfinite(ball.xy[1]) and isfinite(ball.xy[2]) then ball.xy[1] end as x,
+points as materialized (select * from people where x is not null),
+balls as materialized (select match_id, frame, ball is not null as found, case when len(ball.xy) = 2 and isfinite(ball.xy[1]) and isfinite(ball.xy[2]) then ball.xy[1] end as x,
                  case when len(ball.xy) = 2 and isfinite(ball.xy[1]) and isfinite(ball.xy[2]) then ball.xy[2] end as y from lines),
 firsts as (select match_id, min(frame) as first_frame, max(frame) as last_frame, count(*) as frames from lines group by match_id)
 """

@@ -118,10 +118,9 @@ def test_whole_queries_drop_no_rows_and_no_metric(spark, make_frames, tmp_path):
 
     far = {(m, f): [(1, 5000.0 if f == 3 else float(f), 1.0)] for m in ("a", "b") for f in range(7)}
     make_frames(far).write.parquet(str(tmp_path / "frames.parquet"))
-    assert {"smoothed_whole", "moving_average_whole"} <= set(queries.REGISTRY.queries)
-    smooth, mean = queries.smoothed_whole(spark, str(tmp_path)), queries.moving_average_whole(spark, str(tmp_path))
+    smooth, mean = queries.smoothed(spark, str(tmp_path)), queries.moving_average(spark, str(tmp_path))
     assert smooth.count() == mean.count() == 14
-    got = {(r.match_id, r.frame): r.x for r in mean.collect()}
-    assert got["a", 3] == pytest.approx(5018 / 7) and got["a", 0] == 0.0
+    got = {(r.match_id, r.frame): r.x_cm for r in mean.collect()}
+    assert got["a", 3] == pytest.approx(501_800 / 7) and got["a", 0] == 0.0
     from kinefold.plans import report_queries
     assert "avg_distance_m" in {r["name"] for r in report_queries.comparison(spark, str(tmp_path)).collect()}
