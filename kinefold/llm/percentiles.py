@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 K = 256
 
 
+#: Partial sketches of a group that meet in one task.
+PER_MERGE = 256
+
+
 class RelativeSketch:
     """Rank sketch that is sharper the nearer to the maximum."""
 
@@ -179,18 +183,24 @@ def build_sketches(rows: DataFrame, by: list[str], value: str, k: int = K) -> Da
     return slim.mapInArrow(build, f"{ddl}, lower boolean, {_SKETCH}" if by else f"lower boolean, {_SKETCH}")
 
 
-def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, salts: int = 1) -> DataFrame:
+def merge_sketches(sketches: DataFrame, by: list[str], k: int = K, salts: int | None = None) -> DataFrame:
     """One sketch per group of ``by`` from any number of partial ones.
 
     With ``salts`` above 1 a first round merges within so many random parts of each group, so
     that a group with very many partial sketches does not meet in one task at once.  A sketch
-    stays whole in its part (its levels are only told from one another by ``n``).
+    stays whole in its part (its levels are only told from one another by ``n``).  A group has at
+    most one partial sketch a task, so the salts follow from the session's shuffle partitions:
+    one for every ``PER_MERGE`` of them.
     """
+    if salts is None:
+        salts = max(1, -(-int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PER_MERGE))
     by = [*by, "lower"]
     kinds = {f.name: f.dataType for f in sketches.schema.fields}
     ddl = "".join(f"`{c}` {kinds[c].simpleString()}, " for c in by)
 
     def merge(key: tuple, part: pa.Table) -> pa.Table:
+        if part.num_rows == 1:  # nothing to merge
+            return part.select([*by, *(c for c, _ in _FIELDS)])
         whole = RelativeSketch(k)
         levels: dict[int, list[np.ndarray]] = {}
         states: dict[int, int] = {}
