@@ -10,14 +10,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinefold.functions.geometry import box_overlap
+from kinefold.functions.geometry import box_edges, edges_overlap
 
 
 def overlap_candidates(truth: DataFrame, predicted: DataFrame, key: list[str], least: float = 0.5) -> DataFrame:
-    """``key, t, p, score, iou``: pairs of boxes of a frame that overlap enough (equi join on the frame)."""
-    a = truth.select(*key, F.col("id").alias("t"), F.col("box").alias("tb"))
-    b = predicted.select(*key, F.col("id").alias("p"), F.col("box").alias("pb"), "score")
-    return a.join(b, key).withColumn("iou", box_overlap(F.col("tb"), F.col("pb"))).where(F.col("iou") >= least).select(*key, "t", "p", "score", "iou")
+    """``key, t, p, score, iou``: pairs of boxes of a frame that overlap enough (equi join on the frame).
+
+    Edges and areas are computed once a box, not once a pair, and most pairs end at the first
+    comparison; so the join condition stays small enough for the JVM to compile.
+    """
+    a = truth.select(*key, F.col("id").alias("t"), *box_edges(F.col("box"), "_t"))
+    b = predicted.select(*key, F.col("id").alias("p"), "score", *box_edges(F.col("box"), "_p"))
+    common, iou = edges_overlap("_t", "_p")
+    enough = (common > 0) & (iou >= least) if least > 0 else F.greatest(F.lit(0.0), iou) >= least
+    return a.join(b, key).where(enough).select(*key, "t", "p", "score", F.greatest(F.lit(0.0), iou).alias("iou"))
 
 
 def greedy_matches(candidates: DataFrame, key: list[str], by: str = "iou") -> DataFrame:
