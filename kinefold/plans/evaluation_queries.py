@@ -18,8 +18,8 @@ _SETS = """truth as (select match_id, frame, p.id as id, p.box as box from entri
 pred as (select match_id, frame, id, [box[1] + id % 5, box[2] + frame % 4, box[3], box[4]] as box, ((id * 37 + frame) % 101) / 101.0::double as score from truth where id % 7 <> 0)"""
 
 
-def _truth(spark, sf):
-    return rec.people(rec.newest_lines(table(spark, sf, "frames"))).where(F.size("box") == 4).select("match_id", "frame", "id", "box", "role")
+def _truth(spark, sf, *more):
+    return rec.people_fields(table(spark, sf, "frames"), "box", *more).where(F.size("box") == 4)
 
 
 def _pred(truth):
@@ -66,7 +66,7 @@ def tracking_counts(spark, sf):
 
 @REGISTRY.add("roles_from_truth")
 def roles_from_truth(spark, sf):
-    t = _truth(spark, sf)
+    t = _truth(spark, sf, "role")
     p = _pred(t).withColumn("role", F.lit("player"))
     m = ev.greedy_matches(ev.overlap_candidates(t, p, KEY), KEY)
     return ev.with_truth(p, t, m, KEY, ["role"]).groupBy("role").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from kinefold.functions.geometry import box_overlap
 from kinefold.operators import evaluation as ev
+from kinefold.operators import recording as rec
+from kinefold.plans import evaluation_queries as queries
 
 BOX = "f bigint, id bigint, box array<double>, score double"
 #: Overlapping, apart, touching, empty, of negative size, with a null, with NaN and infinity.
@@ -34,3 +36,15 @@ def test_the_join_of_boxes_is_small_enough_to_be_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert sizes and max(sizes) <= 8000  # bytes; longer methods are interpreted, some 10 times as slow
+
+
+def test_people_carry_only_the_fields_asked_for(spark, make_frames, tmp_path):
+    frames = make_frames([(("m", 1), [(1, 0, 0, "player"), (1, 1, 1, "referee"), (None, 0, 0), (2, 0, 0, "goalkeeper")]), (("m", 1), [(3, 0, 0), (3, 1, 1)]), (("m", 2), None), (("m", 3), [(4, 0, 0)])])
+    frames.write.parquet(str(tmp_path / "frames.parquet"))
+    read = spark.read.parquet(str(tmp_path / "frames.parquet"))
+    assert {(r.frame, r.id, r.role) for r in rec.people_fields(read, "role").collect()} == {(1, 3, "player"), (3, 4, "player")}
+    p = rec.people(rec.newest_lines(read)).select("match_id", "frame", "id", "box")
+    assert sorted(map(repr, rec.people_fields(read, "box").collect())) == sorted(map(repr, p.collect()))
+    plan = queries.tracking_counts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and not any(f"{name}:" in line for line in scans for name in ("role", "team", "jersey", "xy"))
