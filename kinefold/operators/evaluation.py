@@ -156,11 +156,15 @@ def kmeans_step(points: DataFrame, centres: np.ndarray, features: str = "feature
 def number_evidence(rows: DataFrame, key: list[str], order: str, tau: float = 4.0, ratio: float = 0.6) -> DataFrame:
     """``key, number, since``: first moment at which a number's summed evidence commits.
 
-    ``rows``: key, order, p (array of probabilities), pnone.  Running sums per (key, number).
+    ``rows``: key, order, p (probabilities: an array with one for each number, or a map of those
+    that are not 0), pnone.  Evidence is never negative and ``tau`` is above 0, so a number commits
+    only at a moment that adds to it: entries of 0 are left out before the one shuffle by key, and
+    its own sum and the sum of all are running sums over the other entries.
     """
-    long = rows.select(*key, order, F.posexplode("p").alias("number", "_p"), (1 - F.col("pnone")).alias("_w")).withColumn("_e", F.col("_p") * F.col("_w"))
-    one = Window.partitionBy(*key, "number").orderBy(order)
-    per = long.withColumn("_s", F.sum("_e").over(one))
-    moment = per.groupBy(*key, order).agg(F.max(F.struct("_s", (-F.col("number")).alias("_n"))).alias("_b"), F.sum("_s").alias("_t"))
-    ready = moment.where((F.col("_b._s") >= tau) & (F.col("_b._s") >= ratio * F.col("_t")))
-    return ready.groupBy(*key).agg(F.min(F.struct(F.col(order).alias("o"), (-F.col("_b._n")).alias("n"))).alias("_f")).select(*key, F.col("_f.n").alias("number"), F.col("_f.o").alias("since"))
+    entries = F.posexplode("p") if rows.schema["p"].dataType.typeName() == "array" else F.explode("p")
+    long = rows.select(*key, order, entries.alias("number", "_p"), (1 - F.col("pnone")).alias("_w")).withColumn("_e", F.col("_p") * F.col("_w")).where("_e > 0").drop("_p", "_w")
+    every, one = Window.partitionBy(*key).orderBy(order), Window.partitionBy(*key, "number").orderBy(order)
+    sums = long.repartition(*key).withColumn("_t", F.sum("_e").over(every)).withColumn("_s", F.sum("_e").over(one))
+    ready = sums.where((F.col("_s") >= tau) & (F.col("_s") >= ratio * F.col("_t")))
+    first = F.min(F.struct(F.col(order).alias("o"), (-F.col("_s")).alias("s"), F.col("number").alias("n")))
+    return ready.groupBy(*key).agg(first.alias("_f")).select(*key, F.col("_f.n").alias("number"), F.col("_f.o").alias("since"))

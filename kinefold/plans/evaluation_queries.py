@@ -160,7 +160,6 @@ def kmeans_step(spark, sf):
 c as (select *, row_number() over (partition by match_id, id, n order by frame) as hits, row_number() over (partition by match_id, id order by frame) as total from r where n between 0 and 99)
 select match_id, id, arg_min(n, frame)::int as number, min(frame) as since from c where hits >= 4 and hits >= 0.6::double * total group by match_id, id""")
 def number_evidence(spark, sf):
-    """Shirt numbers of tracks from readings: full evidence for the number read, of a hundred."""
-    p = rec.people(rec.newest_lines(table(spark, sf, "frames"))).withColumn("n", F.col("jersey").try_cast("int")).where("n between 0 and 99")
-    array = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.when(k == F.col("n"), 1.0).otherwise(0.0))
-    return ev.number_evidence(p.select("match_id", "id", "frame", array.alias("p"), F.lit(0.0).alias("pnone")), ["match_id", "id"], "frame")
+    """Shirt numbers of tracks from readings: full evidence for the number read, of a hundred; the others, 0, are left out."""
+    p = rec.people_fields(table(spark, sf, "frames"), "jersey").withColumn("n", F.col("jersey").try_cast("int")).where("n between 0 and 99")
+    return ev.number_evidence(p.select("match_id", "id", "frame", F.create_map("n", F.lit(1.0)).alias("p"), F.lit(0.0).alias("pnone")), ["match_id", "id"], "frame")

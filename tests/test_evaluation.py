@@ -48,3 +48,45 @@ def test_people_carry_only_the_fields_asked_for(spark, make_frames, tmp_path):
     plan = queries.tracking_counts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and not any(f"{name}:" in line for line in scans for name in ("role", "team", "jersey", "xy"))
+
+
+EVIDENCE = "k bigint, o bigint, p array<double>, pnone double"
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_evidence_commits_at_the_first_moment(spark, sparse):
+    unsure, seven = [0.1] * 10, [0.0] * 7 + [0.9, 0.1, 0.0]
+    rows = [(1, o, seven if o % 3 else unsure, 0.0) for o in range(20)] + [(2, o, seven, 1.0) for o in range(9)] + [(3, o, [0.0, 1.0, 1.0], 0.0) for o in range(9)]
+    rows += [(4, o, [0.0, 0.0, 1.0] if o < 3 else [1.0, 0.0, 0.0], 0.0) for o in range(12)] + [(5, 0, None, 0.0), (5, 1, [None, 5.0], 0.0)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        sums = {}
+        for _, o, p, none in sorted(r for r in rows if r[0] == key and r[2]):
+            for n, v in enumerate(p):
+                sums[n] = sums.get(n, 0.0) + (v or 0.0) * (1 - none)
+            s, n = max((s, -n) for n, s in sums.items())
+            if key not in want and s >= 4 and s >= 0.6 * sum(sums.values()):
+                want[key] = (-n, o)
+    df = spark.createDataFrame(rows, EVIDENCE)
+    if sparse:
+        df = df.withColumn("p", F.map_from_entries(F.filter(F.transform("p", lambda v, i: F.struct(i.alias("n"), v.alias("v"))), lambda e: e["v"] != 0)))
+    assert {r.k: (r.number, r.since) for r in ev.number_evidence(df, ["k"], "o").collect()} == want
+    assert set(want) == {1, 4, 5}
+
+
+def test_evidence_that_is_nought_is_not_shuffled(spark):
+    rows = spark.range(200).select((F.col("id") % 4).alias("k"), F.col("id").alias("o"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda n: F.when(n == 7, 1.0).otherwise(0.0)).alias("p"), F.lit(0.0).alias("pnone"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = ev.number_evidence(rows, ["k"], "o")
+        assert {(r.number, r.since) for r in df.collect()} == {(7, 12 + k) for k in range(4)}
+        shuffled, nodes = [], [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Exchange":
+                shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert shuffled and max(shuffled) <= 200  # one for each row, not one for each row and number
