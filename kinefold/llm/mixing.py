@@ -5,10 +5,11 @@ sources to their target shares, languages and topics to the shares they have in
 No cell's weight passes its source's cap on repeats.  Documents are then drawn by their
 calibrated weight: the whole part as copies, the rest by systematic sampling.
 
-Sizes are tokens of a public tokenizer, counted in Arrow batches; the same pass gives every
-document the nearest of ``topics`` cluster centres of hashed token counts (spherical k-means,
-fitted on at most ``most_fitted`` documents in hash order; every document is assigned).  The
-sizes are stored once as a table in the shared folder.
+Sizes are tokens of a public tokenizer, counted in Arrow batches; the same pass stores the
+hashed token counts of every document in the shared folder.  Topics are centres of these
+counts (spherical k-means over all documents, a pass over the stored counts for every round),
+and every document gets the nearest.  Vectors lie on a grid of ``1 / GRID``, so that all sums
+are exact and the topics depend neither on the layout of the table nor on the order of its rows.
 
 Defined results: documents without text or without target source are not used; a source
 without documents, or whose cap on repeats is null or 0, stays at 0 and is reported; copies of a document are documents of their
@@ -37,6 +38,8 @@ PIECE = 50_000
 LANGUAGES = ("en", "de", "es", "fr")
 #: Hashed token counts that a topic is told by.
 FEATURES = 512
+#: Steps of 1 in the vectors and centres of topics: products are whole multiples of 2 ** -40, so sums below 2 ** 13 are exact.
+GRID = 2.0 ** 20
 
 
 def _encoding(tokenizer: str):
@@ -57,50 +60,184 @@ class Topics:
 
     def nearest(self, counts: np.ndarray) -> np.ndarray:
         """Number of the centre nearest to each row of counts."""
-        return (_unit(np.log1p(counts) * self.weights) @ self.centres.T).argmax(axis=1)
+        return self.closeness(_vectors(_sparse(counts), self.weights)).argmax(axis=1)
 
+    def closeness(self, x: np.ndarray) -> np.ndarray:
+        """Cosines of vectors (rows) and centres (columns), exact on the grid."""
+        return x @ self.centres.T
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+@dataclass(frozen=True)
+class Sparse:
+    """Hashed token counts of ``size`` documents: the entries above 0."""
+
+    size: int
+    row: np.ndarray
+    feature: np.ndarray
+    count: np.ndarray
+
+
+def _sparse(counts: np.ndarray) -> Sparse:
+    row, feature = np.nonzero(counts)
+    return Sparse(len(counts), row, feature, counts[row, feature])
+
+
+def _vectors(c: Sparse, weights: np.ndarray) -> np.ndarray:
+    """Vectors of unit length on the grid, a row for each document."""
+    v = np.log1p(c.count) * weights[c.feature]
+    length = np.maximum(np.sqrt(np.bincount(c.row, v * v, minlength=c.size)), 1e-12)
+    x = np.zeros((c.size, FEATURES))
+    x[c.row, c.feature] = np.round(v / length[c.row] * GRID) / GRID
+    return x
+
+
+def _sums(c: Sparse, fitted: Topics) -> np.ndarray:
+    """Sum of the vectors nearest to each centre, in units of the grid."""
+    x = _vectors(c, fitted.weights)
+    mine = fitted.closeness(x).argmax(axis=1)[:, None] == np.arange(len(fitted.centres))
+    return np.round((mine.T.astype(float) @ x) * GRID).astype(np.int64)
+
+
+class Local:
+    """Passes over counts in memory."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
+
+    def presence(self) -> np.ndarray:
+        """Documents with each feature, at the end all documents."""
+        return np.append((self.counts > 0).sum(axis=0), len(self.counts))
+
+    def farthest(self, fitted: Topics) -> np.ndarray:
+        """Counts of the document that is farthest from all centres."""
+        return self.counts[fitted.closeness(_vectors(_sparse(self.counts), fitted.weights)).max(axis=1, initial=-1.0).argmin()]
+
+    def sums(self, fitted: Topics) -> np.ndarray:
+        return _sums(_sparse(self.counts), fitted)
+
+
+class Stored:
+    """Passes over a table of ``doc_id, features, counts``; ties of distance go by hash of the document."""
+
+    def __init__(self, counted: DataFrame) -> None:
+        self.counted = counted.select(F.xxhash64("doc_id").alias("h"), "features", "counts")
+
+    def presence(self) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(FEATURES + 1, dtype=np.int64)
+            for _, c in _chunks(batches):
+                total += np.append(np.bincount(c.feature, minlength=FEATURES), c.size)
+            yield _table(place=np.arange(FEATURES + 1), n=total)
 
-def fit_topics(counts: np.ndarray, topics: int = 6, rounds: int = 20, seed: int = 5) -> Topics:
+        return self._added(count, FEATURES + 1)
+
+    def farthest(self, fitted: Topics) -> np.ndarray:
+        def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece, c in _chunks(batches):
+                near = fitted.closeness(_vectors(c, fitted.weights)).max(axis=1, initial=-1.0)
+                ties = np.flatnonzero(near == near.min())
+                k = int(ties[piece.column("h").to_numpy()[ties].argmin()])
+                yield pa.RecordBatch.from_arrays([pa.array([near[k]]), *[piece.column(name).slice(k, 1) for name in ("h", "features", "counts")]], names=["near", "h", "features", "counts"])
+
+        r = self.counted.mapInArrow(far, "near double, h bigint, features binary, counts binary").orderBy("near", "h", "features", "counts").first()
+        out = np.zeros(FEATURES)
+        out[np.frombuffer(r.features, dtype=np.int16)] = np.frombuffer(r.counts, dtype=np.int32)
+        return out
+
+    def sums(self, fitted: Topics) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(fitted.centres.shape, dtype=np.int64)
+            for _, c in _chunks(batches):
+                total += _sums(c, fitted)
+            place = np.flatnonzero(total)
+            yield _table(place=place, n=total.ravel()[place])
+
+        return self._added(add, fitted.centres.size).reshape(fitted.centres.shape)
+
+    def _added(self, task, size: int) -> np.ndarray:
+        """Sums of the tasks' numbers by place; ``size`` numbers reach the driver."""
+        out = np.zeros(size, dtype=np.int64)
+        for r in self.counted.mapInArrow(task, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            out[r.place] = r.n
+        return out
+
+
+def _table(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, type=pa.int64()) for v in columns.values()], names=list(columns))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[tuple[pa.RecordBatch, Sparse]]:
+    """Pieces of the batches, with their counts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            piece = batch.slice(start, rows)
+            (features, ends), (counts, _) = _numbers(piece.column("features"), np.int16), _numbers(piece.column("counts"), np.int32)
+            yield piece, Sparse(piece.num_rows, np.repeat(np.arange(piece.num_rows), np.diff(ends)), features, counts)
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column without nulls, and their borders: no work for each row."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2] or b"", dtype=kind, count=int(ends[-1] - ends[0]) // size, offset=int(ends[0])), (ends - ends[0]) // size
+
+
+def fit_topics(counts: np.ndarray | Local | Stored, topics: int = 6, rounds: int = 20) -> Topics:
     """Spherical k-means on hashed token counts, rare tokens weighing more; starts far apart."""
-    if not len(counts):
+    passes = Local(counts) if isinstance(counts, np.ndarray) else counts
+    *present, size = passes.presence()
+    if not size:
         return Topics(np.ones(FEATURES), np.zeros((1, FEATURES)))
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-    x = _unit(np.log1p(counts) * weights)
-    centres = [x[np.random.default_rng(seed).integers(len(x))]]
-    for _ in range(min(topics, len(x)) - 1):
-        centres.append(x[np.max(x @ np.array(centres).T, axis=1).argmin()])
-    centres = np.array(centres)
+    fitted = Topics(np.log((1 + size) / (1 + np.array(present))), np.zeros((0, FEATURES)))
+    for _ in range(min(topics, int(size))):
+        start = _vectors(_sparse(passes.farthest(fitted)[None, :]), fitted.weights)
+        fitted = Topics(fitted.weights, np.vstack([fitted.centres, start]))
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        centres = _unit(np.array([x[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))]))
-    return Topics(weights, centres)
+        sums = passes.sums(fitted).astype(float)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, np.round(sums / np.maximum(length, 1.0) * GRID) / GRID, fitted.centres)
+        if np.array_equal(centres, fitted.centres):
+            break
+        fitted = Topics(fitted.weights, centres)
+    return fitted
 
 
-def count_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, to: str = "tokens", topics: Topics | None = None) -> DataFrame:
-    """The documents with the number of tokens of their whole text (0 for none), and with ``topics`` the topic of each."""
+def count_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, to: str = "tokens", features: bool = False) -> DataFrame:
+    """The documents with the number of tokens of their whole text (0 for none), and with ``features`` their hashed counts above 0 (numbers of features, int16, and their counts, int32, as bytes)."""
     names = [c for c in documents.columns if c != text]
-    schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes if c != text) + f", `{to}` bigint" + (", topic string" if topics else "")
+    schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes if c != text) + f", `{to}` bigint" + (", features binary, counts binary" if features else "")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(tokenizer)
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             columns = [batch.column(i) for i in range(len(names))]
-            if topics is None:
+            if not features:
                 columns.append(pa.array([_size(encoding, t) for t in texts], type=pa.int64()))
             else:
-                counts = np.array([hashed_counts(encoding, t) for t in texts]).reshape(-1, FEATURES)
-                columns.append(pa.array(counts.sum(axis=1).astype(np.int64)))
-                columns.append(pa.array([f"topic_{k}" for k in topics.nearest(counts)], type=pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, to, *(["topic"] if topics else [])])
+                each = [hashed_counts(encoding, t) for t in texts]
+                there = [np.flatnonzero(c) for c in each]
+                columns.append(pa.array([int(c.sum()) for c in each], type=pa.int64()))
+                columns.append(pa.array([f.astype(np.int16).tobytes() for f in there], type=pa.binary()))
+                columns.append(pa.array([c[f].astype(np.int32).tobytes() for c, f in zip(each, there)], type=pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, to, *(["features", "counts"] if features else [])])
 
     return documents.select(*names, text).mapInArrow(count, schema)
 
 
+def with_topics(counted: DataFrame, fitted: Topics) -> DataFrame:
+    """The columns before ``features`` and ``counts``, and the topic of every document."""
+    names = [c for c in counted.columns if c not in ("features", "counts")]
+    schema = ", ".join(f"`{c}` {t}" for c, t in counted.dtypes if c in names) + ", topic string"
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, c in _chunks(batches):
+            near = fitted.closeness(_vectors(c, fitted.weights)).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array([f"topic_{k}" for k in near], type=pa.string())], names=[*names, "topic"])
+
+    return counted.mapInArrow(assign, schema)
+
+
 def hashed_counts(encoding, text: str | None) -> np.ndarray:
     """Tokens of a whole text, counted by their number modulo ``FEATURES``."""
     out = np.zeros(FEATURES)
@@ -188,14 +325,12 @@ def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: dict[st
     return Plan(cells, weight.tolist(), float(total), shares)
 
 
-def sized(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, topics: int = 6, most_fitted: int = 4_000) -> DataFrame:
-    """``doc_id, source, language, tokens, topic`` of the documents that can be used; stored, so texts are tokenised once."""
+def sized(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, topics: int = 6) -> DataFrame:
+    """``doc_id, source, language, tokens, topic`` of the documents that can be used; counts and sizes are stored, so texts are tokenised once."""
     wanted = targets.where(F.col("source").isNotNull()).select("source").distinct()
     slim = documents.where(F.length("text") > 0).join(wanted, "source", "left_semi").select("doc_id", "source", language(F.coalesce("lang", F.lit(""))).alias("language"), "text")
-    sample = slim.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fitted).collect()
-    encoding = _encoding(tokenizer)
-    fitted = fit_topics(np.array([hashed_counts(encoding, r.text) for r in sample]).reshape(-1, FEATURES), topics)
-    return stored(count_tokens(slim, tokenizer=tokenizer, topics=fitted).where("tokens > 0"), "sizes")
+    counted = stored(count_tokens(slim, tokenizer=tokenizer, features=True).where("tokens > 0"), "counted")
+    return stored(with_topics(counted, fit_topics(Stored(counted), topics)), "sizes")
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> Plan:

@@ -35,7 +35,7 @@ def test_the_join_of_boxes_is_small_enough_to_be_compiled(spark):
         sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    assert sizes and max(sizes) <= 8000  # bytes; longer methods are interpreted, some 10 times as slow
+    assert sizes and max(sizes) <= 8000  # bytes; longer methods are interpreted
 
 
 def test_people_carry_only_the_fields_asked_for(spark, make_frames, tmp_path):
